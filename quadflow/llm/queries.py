@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from quadflow.llm.copies import copy_groups, normalized
 from quadflow.llm.frequency import marked, term_frequencies, value_terms
 from quadflow.llm.lookalikes import alike_pairs, one_form
-from quadflow.runtime import table
+from quadflow.llm.mixing import mixture, reached
+from quadflow.llm.packing import fill, pack
+from quadflow.llm.tokens import with_tokens
+from quadflow.runtime import table, written
 
 
 def p3_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +53,37 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return one_form(rows[0].unionByName(rows[1]).distinct(), "value")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_records, p5_found, p5_forms)}
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, n_tokens) of every page, tokenized once."""
+    return written(with_tokens(table(spark, d, "documents").select("doc_id", "source", "text")), "tokens")
+
+
+def _limits(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    return [(r["profile"], r["capacity_tokens"]) for r in table(spark, d, "pack_limits").collect()]  # a fixed few profiles
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_pages(spark, d).select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("size")), _limits(spark, d))
+
+
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnsRenamed({"item_id": "doc_id", "size": "n_tokens"})
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill(_packed(spark, d), _limits(spark, d))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(_pages(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    pages, targets = _pages(spark, d), table(spark, d, "mix_targets")
+    return reached(mixture(pages, targets), pages, targets)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_records, p5_found, p5_forms, p8_windows, p8_fill, p9_mixture, p9_shares)}
 
 _TERMS = """with t as (select 'predicate' as field_name, cast(predicate as varchar) as term, subject as record from rdf_statements where predicate is not null and subject is not null
   union all select 'value', lower(unnest(regexp_extract_all(value, '[A-Za-z]+'))), id from (select distinct id, value from rdf_entities where id is not null)),
