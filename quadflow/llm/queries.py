@@ -10,6 +10,7 @@ from quadflow.llm.frequency import marked, term_frequencies, value_terms
 from quadflow.llm.lookalikes import alike_pairs, one_form
 from quadflow.llm.mixing import mixture, reached
 from quadflow.llm.packing import fill, pack
+from quadflow.llm.subjects import composition, fitted, page_areas
 from quadflow.llm.tokens import with_tokens
 from quadflow.runtime import table, written
 
@@ -83,7 +84,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached(mixture(pages, targets), pages, targets)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_records, p5_found, p5_forms, p8_windows, p8_fill, p9_mixture, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return page_areas(docs, fitted(docs, table(spark, d, "page_labels"), table(spark, d, "subject_areas")))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return composition(p10_found(spark, d), table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_records, p5_found, p5_forms, p8_windows, p8_fill, p9_mixture, p9_shares, p10_found, p10_composition)}
 
 _TERMS = """with t as (select 'predicate' as field_name, cast(predicate as varchar) as term, subject as record from rdf_statements where predicate is not null and subject is not null
   union all select 'value', lower(unnest(regexp_extract_all(value, '[A-Za-z]+'))), id from (select distinct id, value from rdf_entities where id is not null)),
