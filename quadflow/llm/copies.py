@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from quadflow.runtime import written
+
 #: What normalization leaves out: Unicode classes P and Z, tabs and line breaks.
 LEFT_OUT = r"[\p{P}\p{Z}\t\n\x0B\f\r\x{85}]+"
 HALF = 0xFFFFFFFF
@@ -24,19 +26,22 @@ def normal_fields(value: Column, separator: str = ";") -> Column:
     return F.filter(F.transform(F.split(value, separator), normalized), lambda x: x != "")
 
 
-def fingerprint(pairs: Column, bits: int = 128) -> Column:
-    """A sum over all (name, value) pairs, whatever their order: two 64-bit hashes each, added in 32-bit halves.
+def pair_hashes(pairs: Column) -> Column:
+    """Two 64-bit hashes of each (name, value) pair."""
+    return F.transform(pairs, lambda x: F.struct(F.xxhash64(x["name"], x["value"]).alias("first"), F.xxhash64(F.lit(0x5BD1E995), x["value"], x["name"]).alias("second")))
+
+
+def fingerprint(hashes: Column, bits: int = 128) -> Column:
+    """The sum of all pairs' hashes, whatever their order, in four 32-bit halves.
 
     Fewer bits are for tests of what happens when fingerprints collide.
     """
-    first = F.transform(pairs, lambda x: F.xxhash64(x["name"], x["value"]))
-    second = F.transform(pairs, lambda x: F.xxhash64(F.lit(0x5BD1E995), x["value"], x["name"]))
 
-    def half(hashes: Column, shift: int) -> Column:
-        total = F.aggregate(hashes, F.lit(0).cast("bigint"), lambda s, h: s + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(HALF)))
+    def half(which: str, shift: int) -> Column:
+        total = F.aggregate(hashes, F.lit(0).cast("bigint"), lambda s, h: s + F.shiftrightunsigned(h[which], shift).bitwiseAND(F.lit(HALF)))
         return total.bitwiseAND(F.lit(HALF if bits >= 128 else (1 << max(0, bits // 4)) - 1))
 
-    return F.struct(half(first, 0).alias("a"), half(first, 32).alias("b"), half(second, 0).alias("c"), half(second, 32).alias("d"))
+    return F.struct(half("first", 0).alias("a"), half("first", 32).alias("b"), half("second", 0).alias("c"), half("second", 32).alias("d"))
 
 
 @F.pandas_udf(BooleanType())
@@ -56,31 +61,33 @@ def copy_groups(records: DataFrame, id_column: str = "id", value: str = "value",
     comparisons and adaptive execution splits its join. Records that share a fingerprint but not the fields are grouped
     by their fields instead.
     """
-    fields = normal_fields(F.col(value))
+    labels = [f"n{i}" for i in range(len(names))]
+    # one projection per step, so that no expression is worked out twice
+    bare = records.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("copy_id"), F.col(value).isNull().alias("none"), normal_fields(F.col(value)).alias("fields"), *[normalized(F.col(n)).alias(c) for n, c in zip(names, labels, strict=True)])
     pairs = F.concat(
-        F.coalesce(F.transform(fields, lambda x: F.struct(F.lit("value").alias("name"), x.alias("value"))), F.array(F.struct(F.lit("no value").alias("name"), F.lit("").alias("value")))),
-        *[F.array(F.struct(F.lit(n).alias("name"), normalized(F.col(n)).alias("value"))) for n in names],
+        F.when(F.col("none"), F.array(F.struct(F.lit("no value").alias("name"), F.lit("").alias("value")))).otherwise(F.transform("fields", lambda x: F.struct(F.lit("value").alias("name"), x.alias("value")))),
+        *[F.array(F.struct(F.lit(n).alias("name"), F.col(c).alias("value"))) for n, c in zip(names, labels, strict=True)],
     )
-    keyed = records.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("copy_id"), F.col(value).isNull().alias("none"), fields.alias("fields"), *[normalized(F.col(n)).alias(f"n{i}") for i, n in enumerate(names)], fingerprint(pairs, bits).alias("f"))
-    keyed = keyed.select("copy_id", "none", "fields", *[f"n{i}" for i in range(len(names))], "f.*")
+    hashed = bare.withColumn("hashes", pair_hashes(pairs)).withColumn("f", fingerprint(F.col("hashes"), bits))
+    keyed = written(hashed.select("copy_id", "none", "fields", *labels, "f.*"), "copies")
     key = ["a", "b", "c", "d"]
-    groups = keyed.groupBy(*key).agg(F.min("copy_id").alias("kept_id"), F.max("copy_id").alias("last_id"))
-    several = groups.where("kept_id < last_id").drop("last_id")
-    members = keyed.join(several, key)
-    kept = members.where("copy_id = kept_id").groupBy(*key).agg(*[F.min_by(F.struct("none", "fields", *[f"n{i}" for i in range(len(names))]), F.xxhash64("none", "fields", *[f"n{i}" for i in range(len(names))])).alias("kept")])
+    groups = written(keyed.groupBy(*key).agg(F.min("copy_id").alias("kept_id"), F.max("copy_id").alias("last_id")), "groups")
+    members = written(keyed.join(groups.where("kept_id < last_id").drop("last_id"), key), "members")
+    record = F.struct("none", "fields", *labels)
+    kept = members.where("copy_id = kept_id").groupBy(*key).agg(F.min_by(record, F.xxhash64("none", "fields", *labels)).alias("kept"))
     met = members.join(kept, key)
     plain = F.col("none") == F.col("kept.none")
-    for i in range(len(names)):
-        plain &= F.col(f"n{i}").eqNullSafe(F.col(f"kept.n{i}"))
+    for c in labels:
+        plain &= F.col(c).eqNullSafe(F.col(f"kept.{c}"))
     mine, theirs = F.coalesce("fields", F.array().cast("array<string>")), F.coalesce("kept.fields", F.array().cast("array<string>"))
     plain &= (F.size(mine) == F.size(theirs)) & (F.size(F.array_except(mine, theirs)) == 0) & (F.size(F.array_except(theirs, mine)) == 0)
     repeated = F.size(F.array_distinct(mine)) < F.size(mine)
-    met = met.select("copy_id", "kept_id", "none", "fields", *[f"n{i}" for i in range(len(names))], plain.alias("plain"), repeated.alias("repeated"), mine.alias("mine"), theirs.alias("theirs"))
+    met = met.select("copy_id", "kept_id", "none", "fields", *labels, plain.alias("plain"), repeated.alias("repeated"), mine.alias("mine"), theirs.alias("theirs"))
     # where a field repeats, equal sets of fields are not enough: their counts must agree too
     counted = met.where("plain and repeated").withColumn("same", _same_counts("mine", "theirs"))
     judged = met.where("not (plain and repeated)").withColumn("same", F.col("plain")).unionByName(counted)
-    collided = judged.where("not same").withColumn("sorted", F.array_sort("fields")).select("copy_id", "none", "sorted", *[f"n{i}" for i in range(len(names))])
-    exact = ["none", "sorted", *[f"n{i}" for i in range(len(names))]]
+    collided = judged.where("not same").withColumn("sorted", F.array_sort("fields")).select("copy_id", "none", "sorted", *labels)
+    exact = ["none", "sorted", *labels]
     first = collided.groupBy(*exact).agg(F.min("copy_id").alias("kept_id"))
     same_texts = collided.join(first, [collided[c].eqNullSafe(first[c]) for c in exact]).select("kept_id", "copy_id")
     alone = groups.where("kept_id = last_id").select("kept_id", F.col("kept_id").alias("copy_id"))
