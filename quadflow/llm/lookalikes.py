@@ -115,7 +115,7 @@ def alike_pairs(rows: DataFrame, same: tuple[str, ...] = ()) -> DataFrame:
     between the distinct texts of a form and only then spread to their ids, so ids that share a text, however many,
     never meet.
     """
-    kept = rows.where("id is not null and value is not null").select("id", "value", "one_form", *same, _key("one_form", *same).alias("k"), F.xxhash64("value").alias("v"))
+    kept = written(rows.where("id is not null and value is not null").select("id", "value", "one_form", *same), "forms").withColumn("k", _key("one_form", *same)).withColumn("v", F.xxhash64("value"))
     several = kept.groupBy("k").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").select("k")
     members = written(kept.join(several, "k", "left_semi").distinct(), "alike")
     texts = members.select("k", "value", "one_form", *same).distinct()
