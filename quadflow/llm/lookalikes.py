@@ -73,33 +73,31 @@ def form_sql(column: str) -> str:
     return f"case when {column} is null or regexp_full_match({column}, '[\\x00-\\x7F]*') then {column} else {other} end"
 
 
-def _forms(column: str, names: list[str]):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch with the form of its last column in place of it; DuckDB sees that column alone, whatever the others are."""
+    import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+    with duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""}) as con:
         con.execute(f"create macro one_form(t) as ({form_sql('t')})")
-        sql = f'select {", ".join(f""""{n}" """ for n in names)}, one_form("{column}") as one_form from part'
         for b in batches:
-            if b.num_rows:
-                part = pa.Table.from_batches([b])
-                con.register("part", part)
-                yield from con.sql(sql).to_arrow_reader(10_000)
-                con.unregister("part")
-        con.close()
-
-    return run
+            if not b.num_rows:
+                continue
+            con.register("part", pa.table({"i": pa.array(range(b.num_rows), pa.int32()), "t": b.column(b.num_columns - 1)}))
+            made = con.sql("select one_form(t) as f from part order by i").to_arrow_table().column("f").cast(pa.string()).combine_chunks()
+            con.unregister("part")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*b.schema.names[:-1], "one_form"])
 
 
 def one_form(rows: DataFrame, column: str) -> DataFrame:
     """rows with one_form: the text of the column in one consistent form; null for null, an empty text stays empty.
 
     Wide and font forms, joined letters, letters of other scripts, separate accents, invisible characters and
-    non-breaking spaces are mapped; spaces, tabs, line breaks, letter case and accents themselves are kept. rows must
-    not have a column one_form.
+    non-breaking spaces are mapped; spaces, tabs, line breaks, letter case and accents themselves are kept. A column
+    one_form that rows have already is replaced; other columns, the text among them, come through as they are.
     """
-    schema = StructType([*rows.schema.fields, StructField("one_form", StringType())])
-    return rows.mapInArrow(_forms(column, rows.columns), schema)
+    kept = [f for f in rows.schema.fields if f.name.lower() != "one_form"]
+    schema = StructType([*kept, StructField("one_form", StringType())])
+    return rows.select(*[f"`{f.name}`" for f in kept], F.col(f"`{column}`").alias("one_form")).mapInArrow(_forms, schema)
 
 
 def _key(*columns: str) -> Column:

@@ -30,9 +30,10 @@ def encoding(vocabulary: str):  # noqa: ANN201
 
 
 def with_tokens(rows: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """rows with n_tokens in place of the text column; a null or empty text has 0 tokens. rows has no n_tokens yet."""
-    kept = [c for c in rows.columns if c != text]
-    schema = StructType([*[f for f in rows.schema.fields if f.name != text], StructField("n_tokens", LongType())])
+    """rows with n_tokens in place of the text column; a null or empty text has 0 tokens, a column n_tokens is replaced."""
+    fields = [f for f in rows.schema.fields if f.name.lower() not in (text.lower(), "n_tokens")]
+    kept = [f.name for f in fields]
+    schema = StructType([*fields, StructField("n_tokens", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary).encode_ordinary
