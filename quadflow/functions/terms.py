@@ -6,6 +6,7 @@ import datetime as dt
 import decimal
 import re
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +53,12 @@ def literal(text: str, lang: str | None = None, datatype: str | None = None) ->
     return f'"{escape(text)}"' + (f"@{lang}" if lang else f"^^<{datatype}>" if datatype else "")
 
 
+def resolved(relative: str, base: str) -> str:
+    """An IRI in full; unlike urljoin alone it keeps an empty fragment."""
+    out = urljoin(base, relative) if base else relative
+    return out + "#" if relative.endswith("#") and not out.endswith("#") else out
+
+
 @dataclass(frozen=True)
 class Term:
     """A term taken apart: kind U (IRI), B (blank node) or L (literal)."""

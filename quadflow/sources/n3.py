@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import urljoin
 
-from quadflow.functions.terms import LOG, OWL, RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE, XSD, bnode, iri, literal, unescape
+from quadflow.functions.terms import LOG, OWL, RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE, XSD, bnode, iri, literal, resolved, unescape
 
 Statement = tuple[str, str, str, str]
 _TOKEN = re.compile(
@@ -131,7 +130,7 @@ class Parser:
         return unescape(value[1:-1])
 
     def resolve(self, relative: str) -> str:
-        return urljoin(self.base, relative) if self.base and ":" not in relative.split("/")[0] else relative
+        return resolved(relative, self.base) if self.base and ":" not in relative.split("/")[0] else relative
 
     def properties(self, subject: str, graph: str) -> None:
         while True:

@@ -10,7 +10,7 @@ from io import StringIO
 from urllib.parse import urldefrag, urljoin
 from xml.sax.saxutils import escape, quoteattr
 
-from quadflow.functions.terms import RDF, RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE, bnode, iri, literal
+from quadflow.functions.terms import RDF, RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE, bnode, iri, literal, resolved
 from quadflow.sources.n3 import RdfError, Statement
 
 _XML = "http://www.w3.org/XML/1998/namespace"
@@ -62,7 +62,7 @@ class _Handler(xml.sax.handler.ContentHandler):
         return bnode(f"{self.scope}n{self.fresh}")
 
     def resolve(self, relative: str, base: str) -> str:
-        return iri(urljoin(base, relative) if relative else urldefrag(base)[0])
+        return iri(resolved(relative, base) if relative else urldefrag(base)[0])
 
     def identifier(self, name: str, base: str) -> str:
         if not _NAME.fullmatch(name):
@@ -195,7 +195,7 @@ class _Handler(xml.sax.handler.ContentHandler):
         text = "".join(frame.text)
         if frame.collection is not None:
             cells = [self.new() for _ in frame.collection]
-            for cell, item, rest in zip(cells, frame.collection, [*cells[1:], RDF_NIL], strict=True):
+            for cell, item, rest in zip(cells, frame.collection, [*cells[1:], RDF_NIL][: len(cells)], strict=True):
                 self.add(cell, RDF_FIRST, item)
                 self.add(cell, RDF_REST, rest)
             value = cells[0] if cells else RDF_NIL

@@ -39,13 +39,17 @@ def format_of(path: str, given: str | None = None) -> str:
     return FORMATS[name]
 
 
+def _decoder(n: int, charset: str):  # noqa: ANN202
+    """For the parts of a text between escapes: every one but the first begins with n hexadecimal digits."""
+    return lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.decode(F.unhex(x.substr(F.lit(1), F.lit(n))), charset), x.substr(F.lit(n + 1), F.length(x))))
+
+
 def _unicode(text: Column) -> Column:
     """Text with \\uXXXX and \\UXXXXXXXX as the characters they stand for; an escaped backslash before u stays one."""
     mark = F.lit("\x01\ue001")
     safe = F.replace(text, F.lit("\\\\"), mark)
     for sign, n, charset in (("\\\\u", 4, "UTF-16BE"), ("\\\\U", 8, "UTF-32")):
-        parts = F.split(safe, sign)
-        safe = F.array_join(F.transform(parts, lambda x, i, n=n, charset=charset: F.when(i == 0, x).otherwise(F.concat(F.decode(F.unhex(x.substr(F.lit(1), F.lit(n))), charset), x.substr(F.lit(n + 1), F.length(x))))), "")
+        safe = F.array_join(F.transform(F.split(safe, sign), _decoder(n, charset)), "")
     return F.replace(safe, mark, F.lit("\\\\"))
 
 
@@ -59,16 +63,16 @@ def _canonical(object_: Column) -> Column:
     return F.when(object_.startswith('"') & object_.contains("\\"), F.concat(F.lit('"'), T.c_escape(T.c_unescape(_unicode(text))), F.lit('"'), tail)).otherwise(object_)
 
 
-def lines_as_quads(lines: DataFrame, graph: str | None = None, scoped: bool = True) -> Document:
+def lines_as_quads(lines: DataFrame, graph: str | None = None, scope: str | None = None) -> Document:
     """N-Triples or N-Quads from a DataFrame of lines (value), every line by itself, without Python.
 
-    scoped makes a blank node's label differ between files. Empty lines and comments are skipped.
+    scope goes before blank nodes' labels; without one they differ between files. Empty lines and comments are skipped.
     """
     file = F.input_file_name()
     split = F.split(F.regexp_replace("value", _LINE, "$1\x1f$2\x1f$3\x1f$4"), "\x1f")
     rows = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$")).select(F.col("value"), F.when(F.col("value").rlike(_LINE), split).alias("x"), file.alias("file"))
-    scope = F.substring(F.sha1("file"), 1, 8) if scoped else F.lit("")
-    node = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("_:"), scope, c.substr(F.lit(3), F.length(c)))).when(c.contains("\\"), _unicode(c)).otherwise(c)
+    prefix = F.substring(F.sha1("file"), 1, 8) if scope is None else F.lit(scope)
+    node = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("_:"), prefix, c.substr(F.lit(3), F.length(c)))).when(c.contains("\\"), _unicode(c)).otherwise(c)
     x = F.col("x")
     g = F.lit(graph) if graph else node(F.coalesce(x[3], F.lit("")))
     good = rows.where("x is not null").select(node(x[0]).alias("s"), node(x[1]).alias("p"), F.when(x[2].startswith('"'), _canonical(x[2])).otherwise(node(x[2])).alias("o"), g.alias("g"), "file")
@@ -106,7 +110,8 @@ def read_rdf(spark: SparkSession, paths: str | list[str], format: str | None = N
     found = []
     for kind, some in kinds.items():
         if kind == "nt":
-            found.append(lines_as_quads(spark.read.text(some), graph))
+            # a folder or pattern is one document: its files were written together and share their blank nodes
+            found += [lines_as_quads(spark.read.text(p), graph, hashlib.sha1(p.encode()).hexdigest()[:8]) for p in some]
         else:
             found.append(_whole(spark, some, kind, base, graph, validate))
     return Document(reduce(DataFrame.unionByName, [d.quads for d in found]), reduce(DataFrame.unionByName, [d.rejects for d in found]))

@@ -237,7 +237,7 @@ def rdf_xml(statements: Iterable[Statement], namespaces: Namespaces | None = Non
                 tag_p = name(p)
             if x.startswith('"'):
                 v = T.parse_term(x)
-                if o.attributes and not v.lang and not v.datatype and sum(y[1] == p for y in mine) == 1 and not m:
+                if o.attributes and p != T.RDF_TYPE and not v.lang and not v.datatype and sum(y[1] == p for y in mine) == 1 and not m:
                     head += f" {tag_p}={quoteattr(v.value)}"
                     continue
                 extra = f" xml:lang={quoteattr(v.lang)}" if v.lang else f" rdf:datatype={quoteattr(v.datatype)}" if v.datatype else ""
@@ -270,30 +270,30 @@ def rdf_xml(statements: Iterable[Statement], namespaces: Namespaces | None = Non
 def graphviz(statements: Iterable[Statement], namespaces: Namespaces | None = None) -> str:
     """A drawing for GraphViz: IRIs as ovals, blank nodes as points, literals as boxes; types go into labels."""
     ns = namespaces or Namespaces()
-    ids: dict[str, str] = {}
-    kinds: dict[str, list[str]] = defaultdict(list)
+    ids: dict[tuple, str] = {}
+    kinds: dict[tuple, list[str]] = defaultdict(list)
     edges = []
     short = lambda t, n: t if len(t) <= n else t[: n - 3] + "..."
     shown = lambda t: ns.normalize(t[1:-1]) or t[1:-1]
     for s, p, o, *g in statements:
         if g and g[0]:
             raise ValueError("a drawing has no graphs")
-        ids.setdefault(s, f"n{len(ids)}")
+        ids.setdefault((s,), f"n{len(ids)}")
         if p == T.RDF_TYPE and o.startswith("<"):
-            kinds[s].append(shown(o))
+            kinds[s,].append(shown(o))
             continue
-        key = o if not o.startswith('"') else f"{s} {p} {o}"
+        key = (o, s, p) if o.startswith('"') else (o,)  # a literal is drawn at each use
         ids.setdefault(key, f"n{len(ids)}")
-        edges.append((s, p, key))
+        edges.append(((s,), p, key))
     quote = lambda x: '"' + x.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
     lines = []
     for t, i in ids.items():
-        if t.startswith("<"):
-            text, shape = short(shown(t), 30), "ellipse"
-        elif t.startswith("_:"):
+        if t[0].startswith("<"):
+            text, shape = short(shown(t[0]), 30), "ellipse"
+        elif t[0].startswith("_:"):
             text, shape = "", "circle"
         else:
-            text, shape = short(T.parse_term(t.split(" ", 2)[2] if " " in t and not t.startswith('"') else t).value, 15), "box"
+            text, shape = short(T.parse_term(t[0]).value, 15), "box"
         label = "\n".join([text, *kinds[t]]).strip()
         lines.append(f"  {i} [label={quote(label)}, shape={shape}];")
     lines += [f"  {ids[s]} -> {ids[o]} [label={quote(short(shown(p), 15))}];" for s, p, o in edges]
