@@ -47,8 +47,20 @@ TEST: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+#: Relations of the user's own, by IRI: subject terms -> object term and, if there is one, object term -> subject term.
+CUSTOM: dict[str, tuple[Callable[..., Column], Callable[[Column], Column] | None]] = {}
+
+
+def register_relation(name: str, forward: Callable[..., Column], reverse: Callable[[Column], Column] | None = None) -> None:
+    """Makes an IRI a relation of rule bodies. forward gets a column of terms per argument, reverse the object's; both
+    give a column of terms, null where the relation does not hold."""
+    CUSTOM[T.iri(name)] = (forward, reverse)
+
+
 def name_of(predicate: str) -> str | None:
     """The relation a predicate names, if it is one."""
+    if predicate in CUSTOM:
+        return predicate
     name = predicate[len(T.MATH) + 1 : -1] if predicate.startswith(f"<{T.MATH}") else ""
     return name if name in UNARY or name in PAIR or name in FOLD or name in TEST else None
 

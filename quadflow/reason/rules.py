@@ -132,6 +132,17 @@ class RuleEngine:
             col = lambda x: M.number(F.lit(x) if isinstance(x, str) else F.col(f"`{column(x.name)}`"))
             for c in todo:
                 inputs = all(bound(a) for a in c.args)
+                if c.name in M.CUSTOM:
+                    forward, reverse = M.CUSTOM[c.name]
+                    text = lambda x: F.lit(x) if isinstance(x, str) else F.col(f"`{column(x.name)}`")
+                    if inputs:
+                        value = forward(*[text(a) for a in c.args])
+                        out = out.where(value == text(c.out)) if bound(c.out) else _bound(out, c.out.name, value)
+                        break
+                    if reverse is not None and bound(c.out) and len(c.args) == 1:
+                        out = _bound(out, c.args[0].name, reverse(text(c.out)))
+                        break
+                    continue
                 if c.name in M.TEST:
                     pair = (*c.args, c.out) if len(c.args) == 1 else c.args
                     if inputs and (len(c.args) == 2 or bound(c.out)):
@@ -183,7 +194,13 @@ class RuleEngine:
         return reduce(DataFrame.unionByName, parts).select("goal", "depth", "s", "p", "o", "rule", "premises")
 
 
+def _bound(out: Bindings, name: str, value: Column) -> Bindings:
+    """out with a variable bound to a term, without the solutions in which that is null."""
+    df = out.df.withColumn(column(name), value)
+    return Bindings(df.where(F.col(f"`{column(name)}`").isNotNull()), out.forms | {name: Form()}, out.certain | {name})
+
+
 def _with(out: Bindings, name: str, value: Column) -> Bindings:
-    df = out.df.withColumn("__number", value).withColumn(column(name), M.number_term(F.col("__number"))).drop("__number")
-    df = df.where(F.col(f"`{column(name)}`").isNotNull())
-    return Bindings(df, out.forms | {name: Form()}, out.certain | {name})
+    counted = Bindings(out.df.withColumn("__number", value), out.forms, out.certain)
+    found = _bound(counted, name, M.number_term(F.col("__number")))
+    return Bindings(found.df.drop("__number"), found.forms, found.certain)

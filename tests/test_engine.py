@@ -398,6 +398,15 @@ def test_math_tests_and_reverse(spark):
     assert mathrel.name_of(f"<{T.MATH}sum>") == "sum" and mathrel.name_of("<u:sum>") is None
 
 
+def test_own_relations(spark):
+    mathrel.register_relation("u:upper", lambda x: F.upper(x), lambda x: F.lower(x))
+    mathrel.register_relation("u:both", lambda x, y: F.when(x == y, F.lit('"same"')))
+    facts = quads_from(spark, n3.parse('@prefix : <u:>. :a :v "q". :b :v "w"; :u "W".'))
+    for body, want in [("?x :v ?v. ?v :upper ?w", {"Q", "W"}), ("?x :u ?v. ?w :upper ?v", {"w"}), ("?x :v ?v; :u ?w. ?v :upper ?w", {"W"}), ("?x :v ?v. (?v \"q\") :both ?w", {"same"})]:
+        rules, _ = n3.rules(n3.parse("@prefix : <u:>. {" + body + "} => {?x :hit ?w}."))
+        assert {T.parse_term(r["o"]).value for r in RuleEngine(rules).infer(facts).where("p = '<u:hit>'").collect()} == want, body
+
+
 # blank nodes
 
 
