@@ -15,7 +15,8 @@ from quadflow.plans.algebra import Triple, Var
 from quadflow.reason import mathrel as M
 from quadflow.runtime import written, written_counted
 
-KNOWN = "s string, p string, o string, rule int, premises array<string>"
+#: Rounds after which what is known is written as one table again, so that plans stay small.
+COMPACT = 8
 
 
 @dataclass(frozen=True)
@@ -90,6 +91,8 @@ class RuleEngine:
             if not count:
                 break
             known.append(delta)
+            if len(known) > COMPACT:
+                known = [written(reduce(DataFrame.unionByName, known), "known")]
         else:
             raise RuntimeError(f"rules still give new statements after {self.max_rounds} rounds")
         return reduce(DataFrame.unionByName, known)

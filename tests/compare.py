@@ -1,6 +1,7 @@
 """python tests/compare.py [SF_DIR] NAME...: runs queries and their SQL side by side."""
 
 import hashlib
+import os
 import sys
 import time
 
@@ -35,7 +36,6 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
-    import os
 
     for t in TABLES:
         p = f"{sf}/{t}.parquet"
