@@ -124,8 +124,13 @@ class Planner:
         names = A.visible(q.where) if q.variables is None else q.variables
         if q.order:
             keys = [k for e, asc in q.order for k in sort_keys(e, asc, out)]
-            if q.form == "SELECT" and q.distinct:  # what distinct keeps of equal rows must not depend on the order's other variables
-                out = Bindings(out.keep([*names, *[v for e, _ in q.order for v in e.variables() if v in out.forms and v not in names]]).df.distinct(), out.forms, out.certain)
+            if q.form == "SELECT" and q.distinct:
+                shown = [F.col(f"`{column(n)}`") for n in names if n in out.forms]
+                if {v for e, _ in q.order for v in e.variables()} <= set(names):
+                    out = Bindings(out.keep(names).df.distinct(), {n: out.forms[n] for n in names if n in out.forms}, out.certain & set(names))
+                else:  # of solutions that are shown alike, the first in order stands for all
+                    first = F.row_number().over(Window.partitionBy(*(shown or [F.lit(0)])).orderBy(*keys))
+                    out = Bindings(out.df.withColumn("__first", first).where("__first = 1").drop("__first"), out.forms, out.certain)
                 keys = [k for e, asc in q.order for k in sort_keys(e, asc, out)]
             out = Bindings(out.df.orderBy(*keys), out.forms, out.certain)
         if q.form == "SELECT":

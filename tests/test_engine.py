@@ -185,6 +185,8 @@ def test_order(store):
     assert got == ["<u:ann>", "<u:cid>"]
     got = [r[0] for r in store.query(P + "SELECT DISTINCT ?t { ?x a ?t ; :name ?n } ORDER BY ?t").collect()]
     assert got == ["<u:Person>", "<u:Robot>"]
+    got = [r[0] for r in store.query(P + "SELECT DISTINCT ?t { ?x a ?t ; :age ?n } ORDER BY ?n").collect()]
+    assert got == ["<u:Robot>", "<u:Person>"]  # by a variable that is not shown
     assert [r[0] for r in Planner(store, max_limit=2).run(P + "SELECT ?x { ?x :age ?a } ORDER BY ?x LIMIT 3").collect()] == ["_:x", "<u:ann>"]
 
 
