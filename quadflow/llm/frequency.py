@@ -59,8 +59,8 @@ def _aggregate(folders: list[str], spill: str):  # noqa: ANN202
             for i in b.column(0).to_pylist():
                 files, path = fs.FileSystem.from_uri(folders[i] if "://" in folders[i] else folders[i].replace("file:/", "file:///", 1))
                 config = {"threads": 1, "memory_limit": DUCKDB_MEMORY, "preserve_insertion_order": False}
-                if spill.startswith("file:"):
-                    config["temp_directory"] = f"/{spill[5:].lstrip('/')}/{i}"
+                if spill.startswith(("file:", "/")):  # else a partition has to fit, which its row limit sees to
+                    config["temp_directory"] = f"/{spill.removeprefix('file:').lstrip('/')}/{i}"
                 with duckdb.connect(config=config) as con:
                     con.register("spilled", ds.dataset(path, filesystem=files, format="parquet"))
                     out = con.sql(
