@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,18 +58,42 @@ class RDFS:
         self.classes, self.properties = closure(pairs(SUB_CLASS)), closure(pairs(SUB_PROPERTY))
         self.domains, self.ranges = pairs(DOMAIN).distinct(), pairs(RANGE).distinct()
 
+    def _by_property(self) -> DataFrame:
+        """(p, props, doms, rngs): of each property its super-properties, and the classes its subjects and objects have."""
+        up = self.properties.select(F.col("a").alias("p"), F.col("b").alias("q"))
+        own = self.domains.select("a").union(self.ranges.select("a")).distinct().select(F.col("a").alias("p"), F.col("a").alias("q"))
+        reach = up.unionByName(own).distinct()
+
+        def classes(of: DataFrame, name: str) -> DataFrame:
+            c = reach.join(of.select(F.col("a").alias("q"), F.col("b").alias("c")), "q").select("p", "c")
+            over = c.join(self.classes.select(F.col("a").alias("c"), F.col("b").alias("d")), "c").select("p", F.col("d").alias("c"))
+            return c.unionByName(over).groupBy("p").agg(F.collect_set("c").alias(name))
+
+        return up.groupBy("p").agg(F.collect_set("q").alias("props")).join(classes(self.domains, "doms"), "p", "full").join(classes(self.ranges, "rngs"), "p", "full")
+
     def apply(self, quads: DataFrame) -> DataFrame:
         """The quads and all that follow from them in their graphs: super-properties, types by domain and range,
-        super-classes. Each entailed quad comes once."""
-        keys = quads.select(*KEYS)
-        over = keys.join(small(self.properties.withColumnRenamed("a", "p")), "p").select("s", F.col("b").alias("p"), "o", "g")
-        all_of = keys.unionByName(over)
-        typed = lambda who: [F.col(who).alias("s"), F.lit(T.RDF_TYPE).alias("p"), F.col("b").alias("o"), "g"]
-        by_domain = all_of.join(small(self.domains.withColumnRenamed("a", "p")), "p").select(*typed("s"))
-        by_range = all_of.join(small(self.ranges.withColumnRenamed("a", "p")), "p").where(~F.col("o").startswith('"')).select(*typed("o"))
-        types = all_of.where(F.col("p") == T.RDF_TYPE).unionByName(by_domain).unionByName(by_range)
-        supers = types.join(small(self.classes.withColumnRenamed("a", "o")), "o").select("s", "p", F.col("b").alias("o"), "g")
-        out = reduce(DataFrame.unionByName, [all_of, by_domain, by_range, supers]).dropDuplicates(KEYS)
+        super-classes. Each entailed quad comes once.
+
+        What a property and a class entail is worked out on the schema first, so the quads are read once and only the
+        last step, which drops repeats, exchanges them.
+        """
+        over = self.classes.groupBy(F.col("a").alias("o")).agg(F.collect_set("b").alias("supers"))
+        rows = quads.select(*KEYS).join(small(self._by_property()), "p", "left").join(small(over), "o", "left")
+        kind = F.lit(T.RDF_TYPE)
+        part = lambda s, p, o: F.struct(s.alias("s"), p.alias("p"), o.alias("o"))
+        none = F.array().cast("array<struct<s:string,p:string,o:string>>")
+        each = lambda c, f, test=None: F.coalesce(F.transform(c, f) if test is None else F.when(test, F.transform(c, f)), none)
+        s, p, o = F.col("s"), F.col("p"), F.col("o")
+        is_type = (p == kind) | F.coalesce(F.array_contains("props", kind), F.lit(False))
+        made = F.concat(
+            F.array(part(s, p, o)),
+            each("props", lambda q: part(s, q, o)),
+            each("doms", lambda c: part(s, kind, c)),
+            each("rngs", lambda c: part(o, kind, c), ~o.startswith('"')),
+            each("supers", lambda c: part(s, kind, c), is_type),
+        )
+        out = rows.select(F.explode(made).alias("x"), "g").select("x.s", "x.p", "x.o", "g").dropDuplicates(KEYS)
         return out.select("*", *T.c_parts(F.col("o")))
 
     def below(self, which: DataFrame, top: str) -> list[str]:
