@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 _made: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python workers can import it wherever
+    the driver has it from."""
+    app, root = spark.sparkContext.applicationId, os.path.dirname(os.path.abspath(__file__))
+    if app in _shipped or not os.path.isdir(root):
+        return
+    _shipped.add(app)
+    folder = tempfile.mkdtemp(prefix="quadflow-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/quadflow-{app}.zip", "w") as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.join("quadflow", os.path.relpath(os.path.join(at, n), root)))
+    spark.sparkContext.addPyFile(f"{folder}/quadflow-{app}.zip")  # read on the driver alone, served to the executors
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
+    ship(spark)
     path = f"{shared_dir(spark)}/quadflow/{name}-{uuid.uuid4().hex}"
     if path.startswith("file:"):
         local = "/" + path[5:].lstrip("/")
@@ -65,4 +85,5 @@ def parts(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
