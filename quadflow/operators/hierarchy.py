@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadflow.runtime import scratch, small, written
+from quadflow.runtime import scratch, small, written, written_counted
 
 #: Stands for a null family in keys.
 NO_FAMILY = "\x00"
@@ -98,6 +98,35 @@ def loops(links: DataFrame) -> DataFrame:
 def descendants(tree: DataFrame) -> DataFrame:
     """(family, ancestor_id, node_id, distance): each node with each of its ancestors, from hierarchy(..., with_path=True).
 
-    Nodes on or below a loop have no path and hence no pairs.
+    Nodes on or below a loop have no path and hence no pairs here; all_descendants() has theirs too.
     """
     return tree.where("depth > 0").select("family", "node_id", "depth", F.posexplode("path").alias("at", "ancestor_id")).where("at < depth").select("family", "ancestor_id", "node_id", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def loop_descendants(tree: DataFrame) -> DataFrame:
+    """(family, ancestor_id, node_id, distance) of the nodes on or below loops: each with every other node that its chain
+    of parents runs through, at the distance at which the chain first gets there.
+
+    Distances double: after round k each node has its ancestors up to 2^k away and knows the one at 2^k, whose ancestors
+    are the next ones. When a round finds no new pair, every chain has come round.
+    """
+    stray = tree.where("depth = -1").select(F.coalesce("family", F.lit(NO_FAMILY)).alias("family"), "node_id", F.col("parent_id").alias("up"))
+    ups = written(stray, "ups")
+    pairs, count = written_counted(ups.where("node_id <> up").select("family", F.col("up").alias("ancestor_id"), "node_id", F.lit(1).cast("bigint").alias("distance")), "pairs")
+    reach = 1
+    while count:
+        far = ups.select("family", "node_id", F.col("up").alias("via"))
+        own = ups.select("family", F.col("node_id").alias("via"), F.col("node_id").alias("ancestor_id"), F.lit(0).cast("bigint").alias("distance"))
+        above = pairs.select("family", F.col("node_id").alias("via"), "ancestor_id", "distance").unionByName(own)
+        step = far.join(above, ["family", "via"]).where("ancestor_id <> node_id").select("family", "ancestor_id", "node_id", (F.col("distance") + reach).alias("distance"))
+        more, n = written_counted(pairs.unionByName(step).groupBy("family", "ancestor_id", "node_id").agg(F.min("distance").alias("distance")), "pairs")
+        if n == count:
+            break
+        pairs, count, reach = more, n, 2 * reach
+        ups = written(far.join(ups.select("family", F.col("node_id").alias("via"), "up"), ["family", "via"]).select("family", "node_id", "up"), "ups")
+    return pairs.withColumn("family", F.when(F.col("family") != NO_FAMILY, F.col("family")))
+
+
+def all_descendants(tree: DataFrame) -> DataFrame:
+    """descendants() and loop_descendants(): the pairs of every node, on, below or off loops. No node is its own ancestor."""
+    return descendants(tree).unionByName(loop_descendants(tree))

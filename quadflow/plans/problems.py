@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadflow.operators.hierarchy import descendants, hierarchy, link_edges
+from quadflow.operators.hierarchy import all_descendants, descendants, hierarchy, link_edges
 from quadflow.operators.orphans import orphan_report, orphans, references, spans
 from quadflow.operators.pivot import cell_values, unfilled, wide_table
 from quadflow.operators.skew import heavy_keys, key_rows, key_stats
@@ -28,6 +28,11 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(hierarchy(_edges(spark, d)))
 
 
+def p1_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """p1_descendants and the pairs of the nodes on and below loops."""
+    return all_descendants(hierarchy(_edges(spark, d)))
+
+
 def _wide(spark: SparkSession, d: str) -> DataFrame:
     predicates = table(spark, d, "rdf_predicates")
     columns = predicates.where("column_name is not null and column_type is not null").selectExpr("column_name", "column_type", "coalesce(single_valued, false) as single_valued")
@@ -63,7 +68,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys(p7_stats(spark, d), statements.count())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_wide, p6_found, p6_report, p7_found, p7_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_all_descendants, p2_found, p2_wide, p6_found, p6_report, p7_found, p7_stats)}
 
 _LINKS = """
 link as (select link_family as family, case when link_direction = 'up' then subject else object end as child,
@@ -123,3 +128,9 @@ SQL = {
     "p7_stats": _KEYED
     + ", gap as (select *, us - lag(us) over (partition by field_name, key_id order by us nulls first, stmt_id) as g from keyed) select field_name, key_id, count(*) as n_rows, min(us) as first_us, max(us) as last_us, max(g) as max_gap_us from gap group by 1, 2",
 }
+SQL["p1_all_descendants"] = (
+    SQL["p1_descendants"].removesuffix(" select * from pair")
+    + """, chain as (select family, parent as ancestor_id, child as node_id, cast(1 as bigint) as distance, [child, parent] as seen from stray where child <> parent
+  union all select c.family, s.parent, c.node_id, c.distance + 1, list_append(c.seen, s.parent) from chain c join stray s on s.family = c.family and s.child = c.ancestor_id where not list_contains(c.seen, s.parent))
+  select * from pair union all select family, ancestor_id, node_id, distance from chain"""
+)

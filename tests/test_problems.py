@@ -61,6 +61,37 @@ def test_hierarchy_matches_brute_force(spark, seed):
     assert {tuple(r) for r in H.descendants(tree).collect()} == pairs
 
 
+def brute_pairs(edges):
+    parent = {}
+    for f, c, p in edges:
+        if c is not None and p is not None:
+            parent[f, c] = min(p, parent.get((f, c), p))
+    pairs = set()
+    for f, n in parent:
+        x, seen = n, {n}
+        while (f, x) in parent and parent[f, x] not in seen:
+            x = parent[f, x]
+            pairs.add((f, x, n, len(seen)))
+            seen.add(x)
+    return pairs
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_descendants_match_brute_force(spark, seed):
+    loop = [("c", i, (i + 1) % 37) for i in range(37)] + [("c", 100 + i, 99 + i if i else 5) for i in range(70)] + [(None, 1, 2), (None, 2, 1), (None, 3, 1)]
+    edges = random_edges(seed) + loop
+    got = [tuple(r) for r in H.all_descendants(H.hierarchy(spark.createDataFrame(edges, "family string, child bigint, parent bigint"))).select("family", "ancestor_id", "node_id", "distance").collect()]
+    assert set(got) == brute_pairs(edges) and len(got) == len(set(got))
+    assert ("a", 102, 104, 2) in got and ("a", 100, 104, 3) in got and (None, 2, 3, 2) in got
+
+
+def test_all_descendants_of_trees_only_and_of_self_loops(spark):
+    schema = "family string, child bigint, parent bigint"
+    assert {tuple(r) for r in H.all_descendants(H.hierarchy(spark.createDataFrame([("f", 1, 2)], schema))).collect()} == {("f", 2, 1, 1)}
+    assert H.all_descendants(H.hierarchy(spark.createDataFrame([("f", 1, 1)], schema))).count() == 0
+    assert H.all_descendants(H.hierarchy(spark.createDataFrame([], schema))).count() == 0
+
+
 def test_hierarchy_of_nothing_and_of_loops_only(spark):
     schema = "family string, child bigint, parent bigint"
     assert H.hierarchy(spark.createDataFrame([], schema)).count() == 0
