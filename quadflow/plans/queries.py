@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quadflow.functions import terms as T
 from quadflow.operators.filters import DateTimeCompare, NumericCompare, StringContains, StringStartsWith
 from quadflow.operators.graph import make_lean, msgs
+from quadflow.operators.hierarchy import link_edges
 from quadflow.operators.store import QuadStore, quads_from, quads_of
 from quadflow.plans.algebra import Triple, Var
 from quadflow.plans.planner import Builder, Planner
@@ -208,6 +209,24 @@ def _rule_path(spark: SparkSession, d: str) -> DataFrame:
 _add("rule_path", _rule_path, "with recursive link as (select distinct subject as a, object as b from rdf_statements where predicate = 7 and objecttype = 0), path as (select a, b from link union select p.a, l.b from path p join link l on l.a = p.b) select '<urn:' || a || '>' as s, '<urn:' || b || '>' as o from path")
 
 
+def _rule_path_links(spark: SparkSession, d: str) -> DataFrame:
+    """Reachability from child to parent over every link predicate, stated from either end, within each family. Paths
+    join with paths, so rounds grow with the logarithm of the longest one."""
+    predicates = table(spark, d, "rdf_predicates")
+    edges = link_edges(table(spark, d, "rdf_statements"), predicates).distinct()
+    node = lambda c: F.concat(F.lit("<urn:"), F.col(c).cast("string"), F.lit(">"))
+    rules = []
+    for (f,) in sorted(predicates.where("link_family is not null").select("link_family").distinct().collect()):
+        up, path = f"<urn:next:{f}>", f"<urn:path:{f}>"
+        rules.append(Rule([Triple(_v("a"), up, _v("b"))], [Triple(_v("a"), path, _v("b"))]))
+        rules.append(Rule([Triple(_v("a"), path, _v("b")), Triple(_v("b"), path, _v("c"))], [Triple(_v("a"), path, _v("c"))]))
+    out = RuleEngine(rules).infer(quads_of(edges, node("child"), F.concat(F.lit("<urn:next:"), F.col("family"), F.lit(">")), node("parent")))
+    return out.where("startswith(p, '<urn:path:')").select("s", "p", "o")
+
+
+_add("rule_path_links", _rule_path_links, "with recursive link as (select distinct link_family as f, case when link_direction = 'up' then subject else object end as a, case when link_direction = 'up' then object else subject end as b from rdf_statements join rdf_predicates using (predicate) where link_family is not null and objecttype = 0 and subject is not null and object is not null), path as (select f, a, b from link union select p.f, p.a, l.b from path p join link l on l.f = p.f and l.a = p.b) select '<urn:' || a || '>' as s, '<urn:path:' || f || '>' as p, '<urn:' || b || '>' as o from path")
+
+
 def _rule_math(relation: str, args: tuple[str, ...], out: str = "z") -> Callable[[SparkSession, str], DataFrame]:
     from quadflow.reason.rules import Call
 
@@ -235,6 +254,8 @@ _add("rule_math_less", _rule_math("lessThan", ("x",), "y"), "select '<http://ex.
 _sparql("udf_lc", "customer", 'SELECT ?c { ?c :c_mktsegment ?m FILTER(fn:lc(?m) = "building") }', "select c_custkey as c from customer where lower(c_mktsegment) = 'building'")
 _sparql("udf_uc", "part", 'SELECT ?p { ?p :p_name ?n FILTER(fn:uc(?n) = "RED WIDGET") }', "select p_partkey as p from part where upper(p_name) = 'RED WIDGET'")
 _add("msg_components", lambda spark, d: msgs(_bnode_links(spark, d)).where("msg is not null").select("s", "o", "msg"), "with recursive e as (select distinct subject as a, object as b from rdf_statements where objecttype = 0 and predicate in (8, 10)), u as (select a, b from e union select b, a from e), r as (select a as n, a as m from u union select r.n, u.b from r join u on u.a = r.m), c as (select n, '_:n' || min(lpad(cast(m as varchar), 12, '0')) as msg from r group by 1) select '_:n' || lpad(cast(a as varchar), 12, '0') as s, '_:n' || lpad(cast(b as varchar), 12, '0') as o, msg from e join c on c.n = e.a")
+# every statement of the store by its real blank nodes; tests/test_msg_store.py has the brute force
+_add("msg_store", lambda spark, d: msgs(rdf_store(spark, d).quads).select("s", "p", "o", "g", "msg"))
 
 
 def _bnode_links(spark: SparkSession, d: str) -> DataFrame:
