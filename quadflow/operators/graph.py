@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadflow.runtime import small, written
+from quadflow.runtime import small, written, written_counted
 
 KEYS = ["s", "p", "o", "g"]
 
@@ -69,19 +70,24 @@ def find_msg(quads: DataFrame, node: str) -> DataFrame:
 Quad = tuple[str, str, str, str]
 
 
-def canonical_labels(statements: list[Quad], rounds: int = 8) -> dict[str, str]:
-    """A hash per blank node that depends on the graph around it and not on labels (colour refinement)."""
+def canonical_labels(statements: list[Quad], rounds: int | None = None) -> dict[str, str]:
+    """A hash per blank node that depends on the graph around it and not on labels: colour refinement until a round
+    parts no more nodes, or for so many rounds. Nodes of one hash may still differ."""
     nodes = {x for s in statements for x in (s[0], s[2]) if x.startswith("_:")}
     colour = dict.fromkeys(nodes, "_")
     about = defaultdict(list)
     for s in statements:
         for x in {s[0], s[2]} & nodes:
             about[x].append(s)
-    for _ in range(min(rounds, len(nodes) + 1)):
+    parted = 0
+    for _ in range(len(nodes) + 1 if rounds is None else min(rounds, len(nodes) + 1)):
         def seen(x: str, me: str) -> str:
             return "*" if x == me else colour.get(x, x)
 
         colour = {n: hashlib.sha1("\n".join(sorted("\t".join((seen(s[0], n), s[1], seen(s[2], n), s[3])) for s in about[n])).encode()).hexdigest() for n in nodes}
+        if rounds is None and len(set(colour.values())) == parted:
+            break
+        parted = len(set(colour.values()))
     return colour
 
 
@@ -91,16 +97,16 @@ def mapping(pattern: list[Quad], target: list[Quad], free: set[str], injective:
     for t in target:
         if t not in banned:
             by_p[t[1], t[3]].append(t)
+    often = Counter(k for ts in by_p.values() for t in ts for k in ((t[0], t[1], None, t[3]), (None, t[1], t[2], t[3])))
+    rare = lambda t: often[None, t[1], t[2], t[3]] if t[2] not in free else often[t[0], t[1], None, t[3]] if t[0] not in free else len(by_p[t[1], t[3]])
     order, seen, left = [], set(), list(pattern)
-    while left:  # the statements with the fewest open nodes first
-        best = min(left, key=lambda t: (sum(x in free and x not in seen for x in (t[0], t[2])), len(by_p[t[1], t[3]])))
+    while left:  # the statements with the fewest open nodes first, of these what hangs on placed nodes, then the rarest
+        best = min(left, key=lambda t: (sum(x in free and x not in seen for x in (t[0], t[2])), t[0] not in seen and t[2] not in seen, rare(t)))
         left.remove(best)
         order.append(best)
         seen |= {x for x in (best[0], best[2]) if x in free}
 
-    def solve(i: int, m: dict[str, str]) -> dict[str, str] | None:
-        if i == len(order):
-            return m
+    def extended(i: int, m: dict[str, str]) -> Iterator[dict[str, str]]:
         s, p, o, g = order[i]
         for t in by_p[p, g]:
             new = dict(m)
@@ -113,11 +119,20 @@ def mapping(pattern: list[Quad], target: list[Quad], free: set[str], injective:
                 elif want != y:
                     break
             else:
-                if (out := solve(i + 1, new)) is not None:
-                    return out
-        return None
-
-    return solve(0, {})
+                yield new
+
+    if not order:
+        return {}
+    stack = [extended(0, {})]  # not by recursion: a graph may have more statements than Python has frames
+    while stack:
+        m = next(stack[-1], None)
+        if m is None:
+            stack.pop()
+        elif len(stack) == len(order):
+            return m
+        else:
+            stack.append(extended(len(stack), m))
+    return None
 
 
 def isomorphic(a: list[Quad], b: list[Quad]) -> bool:
@@ -147,11 +162,29 @@ def retract(statements: list[Quad]) -> list[Quad]:
     return now
 
 
+def _unlike(folded: DataFrame) -> DataFrame:
+    """(msg): one graph of those that are the same but for labels; folded: statements with msg, shape and told.
+
+    Where all nodes of a graph have colours of their own (told), one shape is one graph. Else each is compared with the
+    smallest of its shape, and those that prove unlike with the smallest of them, until none is left.
+    """
+    alike = F.udf(lambda a, b: isomorphic([tuple(x) for x in a], [tuple(x) for x in b]), "boolean")
+    told = folded.where("told").groupBy("shape").agg(F.min("msg").alias("msg")).select("msg")
+    left, count = written_counted(folded.where("not told").groupBy("shape", "msg").agg(F.collect_list(F.struct(*KEYS)).alias("graph")), "graphs")
+    kept = [told]
+    while count:
+        first = left.groupBy("shape").agg(F.min_by(F.struct("msg", "graph"), "msg").alias("first"))
+        kept.append(first.select("first.msg"))
+        rest = left.join(first, "shape").where("msg <> first.msg")
+        left, count = written_counted(rest.where(~alike("graph", "first.graph")).select("shape", "msg", "graph"), "graphs")
+    return reduce(DataFrame.unionByName, kept)
+
+
 def make_lean(quads: DataFrame) -> DataFrame:
     """The quads without blank-node subgraphs that say nothing the rest does not say.
 
     First each minimal self-contained graph is folded by itself, one per group of a Python task. Then whole ones that
-    another one or ground statements cover are dropped: of those alike but for labels the smallest stays, and one with a
+    another one or ground statements cover are dropped: of those alike but for labels one stays, and one with a
     single blank node goes if another node has all of its statements, found by a join on its rarest statement. Larger
     ones that only map into others not alike are kept.
     """
@@ -164,14 +197,14 @@ def make_lean(quads: DataFrame) -> DataFrame:
         out = pdf[[t in kept for t in pdf[KEYS].itertuples(index=False, name=None)]].copy()
         rows = list(out[KEYS].itertuples(index=False, name=None))
         c = canonical_labels(rows)
-        out["shape"] = hashlib.sha1("\n".join(sorted("\t".join((c.get(s, s), p, c.get(o, o), g)) for s, p, o, g in rows)).encode()).hexdigest()
+        out["shape"] = hashlib.sha1("\n".join([str(len(c)), *sorted("\t".join((c.get(s, s), p, c.get(o, o), g)) for s, p, o, g in rows)]).encode()).hexdigest()
         out["n_nodes"] = len(c)
+        out["told"] = len(set(c.values())) == len(c)
         return out
 
-    schema = ", ".join(f"{c} string" for c in [*columns, "msg", "shape"]) + ", n_nodes int"
-    folded = written(q.where("msg is not null").select(*columns, "msg").groupBy("msg").applyInPandas(lambda p: fold(p)[[*columns, "msg", "shape", "n_nodes"]], schema), "folded")
-    first = folded.groupBy("shape").agg(F.min("msg").alias("msg"))
-    one_each = written(folded.join(first, ["shape", "msg"], "left_semi"), "lean")
+    schema = ", ".join(f"{c} string" for c in [*columns, "msg", "shape"]) + ", n_nodes int, told boolean"
+    folded = written(q.where("msg is not null").select(*columns, "msg").groupBy("msg").applyInPandas(lambda p: fold(p)[[*columns, "msg", "shape", "n_nodes", "told"]], schema), "folded")
+    one_each = written(folded.join(_unlike(folded), "msg", "left_semi"), "lean")
     single = one_each.where("n_nodes = 1")
     side = lambda df, n, x: df.select(F.col(n).alias("node"), F.concat_ws("\x1f", F.lit(n), F.col("p"), F.col(x), F.col("g")).alias("edge"))
     edges = side(single.where("not startswith(o, '_:')"), "s", "o").unionByName(side(single.where("not startswith(s, '_:')"), "o", "s"))

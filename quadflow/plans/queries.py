@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -274,3 +275,14 @@ def _lean(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("lean_customers", _lean, "select unnest(['<http://ex.org/c_nationkey>', '<http://ex.org/c_mktsegment>']) as p, (select count(*) from (select distinct c_nationkey, c_mktsegment from customer)) as n")
+
+
+def _lean_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as graphs of two blank nodes: one of a segment, in another of a nation."""
+    c = table(spark, d, "customer")
+    node = lambda k: F.concat(F.lit(f"_:{k}"), F.col("c_custkey").cast("string"))
+    parts = [quads_of(c, node("c"), F.lit(f"<{EX}c_mktsegment>"), T.c_literal(F.col("c_mktsegment"))), quads_of(c, node("c"), F.lit(f"<{EX}c_nation>"), node("n")), quads_of(c, node("n"), F.lit(f"<{EX}c_nationkey>"), T.c_literal(F.col("c_nationkey").cast("string")))]
+    return make_lean(reduce(DataFrame.unionByName, parts)).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
+_add("lean_customer_pairs", _lean_pairs, "select unnest(['<http://ex.org/c_nationkey>', '<http://ex.org/c_nation>', '<http://ex.org/c_mktsegment>']) as p, (select count(*) from (select distinct c_nationkey, c_mktsegment from customer)) as n")

@@ -441,6 +441,18 @@ def test_msgs_and_lean(spark):
     assert G.isomorphic(lean, want)
 
 
+def test_lean_keeps_graphs_that_differ_far_apart_or_by_symmetry_only(spark):
+    mid = " 0" * 20
+    lists = f"@prefix : <u:>. :l :is (1{mid} 2{mid} 3{mid}), (1{mid} 3{mid} 2{mid}). "
+    far = [x[:3] for x in n3.parse(lists) if x[0] != "<u:l>"]
+    assert len({s[0] for s in far}) == 126
+    assert G.make_lean(quads_from(spark, far)).count() == len(far)
+    ring = lambda at, k: [x for i in range(5) for x in ((f"_:{at}{i}", "<u:p>", f"_:{at}{(i + 1) % 5}", ""), (f"_:{at}{i}", "<u:q>", f"_:{at}{(i + k) % 5}", ""))]
+    two, three = ring("a", 2), ring("b", 3)  # refinement gives every node of both the same colour
+    assert G.isomorphic(two, ring("z", 2)) and not G.isomorphic(two, three)
+    assert G.make_lean(quads_from(spark, two + three + ring("c", 2) + ring("d", 3))).count() == len(two + three)
+
+
 def test_isomorphism():
     doc = n3.parse("@prefix : <u:>. _:a :p _:b. _:b :p _:c. _:c :p _:a. _:d :q (1 2). _:e :r _:f, _:g.")
     r = random.Random(1)
