@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadflow.functions import terms as T
-from quadflow.operators.bindings import Bindings, union_all
+from quadflow.operators.bindings import Bindings, column, union_all
 from quadflow.operators.store import KEYS, QuadStore
-from quadflow.plans.algebra import Triple
+from quadflow.plans.algebra import Triple, Var
 from quadflow.runtime import BROADCAST_ROWS, small, written_counted
 
 SUB_CLASS, SUB_PROPERTY = f"<{T.RDFS}subClassOf>", f"<{T.RDFS}subPropertyOf>"
@@ -96,18 +97,28 @@ class RDFS:
         out = rows.select(F.explode(made).alias("x"), "g").select("x.s", "x.p", "x.o", "g").dropDuplicates(KEYS)
         return out.select("*", *T.c_parts(F.col("o")))
 
-    def below(self, which: DataFrame, top: str) -> list[str]:
-        """A term and all that are below it in a closure, found with one small job."""
-        return [top, *sorted(r[0] for r in which.where(F.col("b") == top).select("a").limit(BROADCAST_ROWS).collect() if r[0] != top)]
+    def below(self, which: DataFrame, top: str) -> list[str] | None:
+        """A term and all that are below it in a closure, found with one small job; None if more than BROADCAST_ROWS are."""
+        found = which.where(F.col("b") == top).select("a").limit(BROADCAST_ROWS + 1).collect()
+        return None if len(found) > BROADCAST_ROWS else [top, *sorted(r[0] for r in found if r[0] != top)]
 
     def widen(self, t: Triple) -> list[Triple]:
-        """The patterns whose solutions together are those of one under sub-classes and sub-properties."""
+        """The patterns whose solutions together are those of one under sub-classes and sub-properties; none if they are
+        too many to list, for which joined() is there."""
         if t.p == T.RDF_TYPE and isinstance(t.o, str):
-            return [replace(t, o=c) for c in self.below(self.classes, t.o)]
+            return [replace(t, o=c) for c in self.below(self.classes, t.o) or ()]
         if isinstance(t.p, str) and t.p != T.RDF_TYPE:
-            return [replace(t, p=p) for p in self.below(self.properties, t.p)]
+            return [replace(t, p=p) for p in self.below(self.properties, t.p) or ()]
         return [t]
 
+    def joined(self, t: Triple, scan: Callable[[list[Triple]], Bindings]) -> Bindings:
+        """The solutions of widen(t) by one scan with the class or property left open, joined with the closure."""
+        which, at, top = (self.classes, "o", t.o) if t.p == T.RDF_TYPE else (self.properties, "p", t.p)
+        out = scan([replace(t, **{at: Var("__below")})])
+        terms = which.where(F.col("b") == top).select(F.col("a").alias("__term")).union(self.spark.createDataFrame([(top,)], "__term string"))
+        df = out.df.withColumn("__term", out.term("__below")).join(terms, "__term", "left_semi").drop("__term", column("__below"))
+        return Bindings(df.distinct(), {n: f for n, f in out.forms.items() if n != "__below"}, out.certain - {"__below"})
+
     def select_closure(self, p: str, a: str | None = None, b: str | None = None) -> DataFrame:
         """(a, b) of subClassOf or subPropertyOf with one end given."""
         df = self.classes if p == SUB_CLASS else self.properties
@@ -130,6 +141,8 @@ class WidenedStore(QuadStore):
         if len(triples) > 1:
             return super().scan(triples)
         wide = self.schema.widen(triples[0])
+        if not wide:
+            return self.schema.joined(triples[0], super().scan)
         if len(wide) == 1:
             return super().scan(wide)
         able = [w for w in wide if any(s.may(w) for s in self.sources)]

@@ -343,6 +343,17 @@ def test_rdfs(spark):
     assert {r[0] for r in schema.select_closure(f"<{T.RDFS}subClassOf>", a="<u:Person>").select("b").collect()} == {"<u:Agent>", "<u:Thing>"}
 
 
+def test_widened_store_beyond_the_bound(spark, monkeypatch):
+    schema = RDFS(quads_from(spark, [(f"<u:C{i}>", f"<{T.RDFS}subClassOf>", "<u:Top>") for i in range(9)] + [(f"<u:p{i}>", f"<{T.RDFS}subPropertyOf>", "<u:top>") for i in range(9)]))
+    world = QuadStore.of(quads_from(spark, [(f"<u:x{i}>", T.RDF_TYPE, f"<u:C{i}>") for i in range(9)] + [(f"<u:x{i}>", f"<u:p{i}>", f'"{i}"') for i in range(9)] + [("<u:y>", T.RDF_TYPE, "<u:Top>"), ("<u:y>", "<u:other>", '"1"')]))
+    from quadflow.reason import rdfs as R
+
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 4)
+    wide = WidenedStore(world, schema)
+    assert sorted(r[0] for r in wide.query("PREFIX : <u:> SELECT ?x { ?x a :Top }").collect()) == sorted([f"<u:x{i}>" for i in range(9)] + ["<u:y>"])
+    assert sorted(tuple(r) for r in wide.query("PREFIX : <u:> SELECT ?x ?v { ?x a :Top ; :top ?v }").collect()) == [(f"<u:x{i}>", f'"{i}"') for i in range(9)]
+
+
 PATHS = """@prefix : <u:>. {?a :road ?b} => {?a :path ?b}. {?a :path ?b. ?b :path ?c} => {?a :path ?c}.
 :mill :road :weir, :ford, :quay. :weir :road :lock, :barn. :lock :road :kiln. :ford :road :well. :well :road :gate, :kiln. :gate :road :dock."""
 
