@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quadflow.functions import terms as T
 from quadflow.operators.bindings import Bindings, column, union_all
-from quadflow.operators.store import KEYS, QuadStore
+from quadflow.operators.store import KEYS, QuadSource, QuadStore
 from quadflow.plans.algebra import Triple, Var
 from quadflow.runtime import BROADCAST_ROWS, small, written_counted
 
@@ -72,9 +72,17 @@ class RDFS:
 
         return up.groupBy("p").agg(F.collect_set("q").alias("props")).join(classes(self.domains, "doms"), "p", "full").join(classes(self.ranges, "rngs"), "p", "full")
 
+    def hierarchy(self) -> DataFrame:
+        """(s, p, o, g): every subClassOf and subPropertyOf the schema entails, and rdfs:Resource above every class it
+        mentions, in the default graph."""
+        named = self.classes.select("a").union(self.classes.select("b")).union(self.domains.select("b")).union(self.ranges.select("b")).distinct()
+        links = lambda df, p: df.select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o"), F.lit("").alias("g"))
+        top = named.where(F.col("a") != RESOURCE).withColumn("b", F.lit(RESOURCE))
+        return links(self.classes.unionByName(top).distinct(), SUB_CLASS).unionByName(links(self.properties, SUB_PROPERTY))
+
     def apply(self, quads: DataFrame) -> DataFrame:
         """The quads and all that follow from them in their graphs: super-properties, types by domain and range,
-        super-classes. Each entailed quad comes once.
+        super-classes; and hierarchy(). Each entailed quad comes once.
 
         What a property and a class entail is worked out on the schema first, so the quads are read once and only the
         last step, which drops repeats, exchanges them.
@@ -94,7 +102,7 @@ class RDFS:
             each("rngs", lambda c: part(o, kind, c), ~o.startswith('"')),
             each("supers", lambda c: part(s, kind, c), is_type),
         )
-        out = rows.select(F.explode(made).alias("x"), "g").select("x.s", "x.p", "x.o", "g").dropDuplicates(KEYS)
+        out = rows.select(F.explode(made).alias("x"), "g").select("x.s", "x.p", "x.o", "g").unionByName(self.hierarchy()).dropDuplicates(KEYS)
         return out.select("*", *T.c_parts(F.col("o")))
 
     def below(self, which: DataFrame, top: str) -> list[str] | None:
@@ -135,11 +143,17 @@ class WidenedStore(QuadStore):
         self.schema = schema
 
     def home(self, t: Triple):  # noqa: ANN201
-        return super().home(t) if len(self.schema.widen(t)) == 1 else None
+        return super().home(t) if t.p not in (SUB_CLASS, SUB_PROPERTY) and len(self.schema.widen(t)) == 1 else None
 
     def scan(self, triples: list[Triple]) -> Bindings:
         if len(triples) > 1:
             return super().scan(triples)
+        if triples[0].p in (SUB_CLASS, SUB_PROPERTY):
+            made = self.schema.hierarchy()
+            both = QuadStore(self.spark, [*self.sources, QuadSource(made.select("*", *T.c_parts(F.col("o"))))])
+            wide = self.schema.widen(triples[0])
+            out = union_all([both.scan([w]) for w in wide]) if wide else self.schema.joined(triples[0], both.scan)
+            return Bindings(out.df.distinct(), out.forms, out.certain)
         wide = self.schema.widen(triples[0])
         if not wide:
             return self.schema.joined(triples[0], super().scan)

@@ -354,6 +354,20 @@ def test_widened_store_beyond_the_bound(spark, monkeypatch):
     assert sorted(tuple(r) for r in wide.query("PREFIX : <u:> SELECT ?x ?v { ?x a :Top ; :top ?v }").collect()) == [(f"<u:x{i}>", f'"{i}"') for i in range(9)]
 
 
+def test_rdfs_gives_the_closed_hierarchy(spark):
+    sub, prop = f"<{T.RDFS}subClassOf>", f"<{T.RDFS}subPropertyOf>"
+    schema = RDFS(quads_from(spark, [("<u:A>", sub, "<u:B>"), ("<u:B>", sub, "<u:C>"), ("<u:p>", prop, "<u:q>"), ("<u:q>", prop, "<u:r>")]))
+    world = QuadStore.of(quads_from(spark, [("<u:x>", T.RDF_TYPE, "<u:A>"), ("<u:A>", sub, "<u:B>")]))
+    full = world.with_reasoner(schema)
+    above = {("<u:A>", "<u:B>"), ("<u:A>", "<u:C>"), ("<u:B>", "<u:C>")} | {(f"<u:{c}>", f"<{T.RDFS}Resource>") for c in "ABC"}
+    got = [tuple(r) for r in full.select(p=sub).select("s", "o").collect()]
+    assert set(got) == above and len(got) == len(above)
+    assert full.contains("<u:p>", prop, "<u:r>")
+    wide = WidenedStore(world, schema)
+    assert {tuple(r) for r in wide.query(f"SELECT ?a ?b {{ ?a {sub} ?b }}").collect()} == above
+    assert {r[0] for r in wide.query(f"SELECT ?a {{ ?a {prop} <u:r> }}").collect()} == {"<u:p>", "<u:q>"}
+
+
 PATHS = """@prefix : <u:>. {?a :road ?b} => {?a :path ?b}. {?a :path ?b. ?b :path ?c} => {?a :path ?c}.
 :mill :road :weir, :ford, :quay. :weir :road :lock, :barn. :lock :road :kiln. :ford :road :well. :well :road :gate, :kiln. :gate :road :dock."""
 
