@@ -154,6 +154,35 @@ class TableSource:
         return None if fit is None else Bindings(*fit, set(fit[1]))
 
 
+class ReasonedSource:
+    """A store's statements and those that a reasoner adds, worked out when first asked for. A reasoner with a method
+    relevant(store, wants) says which statements a template needs, so that a select reasons over those alone."""
+
+    distinct = True
+
+    def __init__(self, store: QuadStore, reasoner) -> None:  # noqa: ANN001
+        self.store, self.reasoner = store, reasoner
+        self._all: QuadSource | None = None
+
+    def _source(self) -> QuadSource:
+        if self._all is None:
+            self._all = QuadSource(self.reasoner.apply(self.store.quads))
+        return self._all
+
+    def quads(self) -> DataFrame:
+        return self._source().quads()
+
+    def may(self, t: Triple) -> bool:  # noqa: ARG002
+        return True
+
+    def match(self, triples: list[Triple]) -> Bindings | None:
+        return self._source().match(triples)
+
+    def select(self, wants: dict[str, str | list[str]]) -> DataFrame:
+        some = self.reasoner.relevant(self.store, wants) if hasattr(self.reasoner, "relevant") else None
+        return self.quads() if some is None else self.reasoner.apply(some)
+
+
 class QuadStore:
     """A set of sources. Selects give quads; match() and the SPARQL planner give solutions. Changes give a new store."""
 
@@ -181,7 +210,7 @@ class QuadStore:
 
     def with_reasoner(self, reasoner) -> QuadStore:  # noqa: ANN001
         """With the statements a reasoner adds; the one added last works on what the earlier ones give."""
-        return QuadStore(self.spark, [QuadSource(reasoner.apply(self.quads))], [*self.reasoners, reasoner])
+        return QuadStore(self.spark, [ReasonedSource(self, reasoner)], [*self.reasoners, reasoner])
 
     @property
     def distinct(self) -> bool:
@@ -217,6 +246,11 @@ class QuadStore:
         able = [s for s in self.sources if s.may(t)]
         return able[0] if len(able) == 1 and isinstance(able[0], TableSource) and isinstance(t.p, str) else None
 
+    def group_source(self):  # noqa: ANN201
+        """The source that answers whole groups of patterns by itself, if it is the only one, or None."""
+        plain = type(self).scan is QuadStore.scan and "scan" not in self.__dict__
+        return self.sources[0] if plain and len(self.sources) == 1 and hasattr(self.sources[0], "solve") else None
+
     def scan(self, triples: list[Triple]) -> Bindings:
         """The solutions of one pattern, or of several that one table answers in one scan."""
         names = list(dict.fromkeys(n for t in triples for n in t.variables()))
@@ -233,7 +267,9 @@ class QuadStore:
     def select(self, s=None, p=None, o=None, g=None, filters=(), limit: int | None = None) -> DataFrame:  # noqa: ANN001
         """Quads that match a template. None matches all; a list any of its terms; a DataFrame of one column any of its
         values. filters apply to the object and let only literals pass. rdfs:member matches every rdf:_n."""
-        df = self.quads
+        wants = {k: x if isinstance(x, str) else list(x) for k, x in zip(KEYS, (s, p, o, g), strict=True) if x is not None and not isinstance(x, DataFrame)}
+        parts = [x.select(wants) if wants and hasattr(x, "select") else x.quads() for x in self.sources]
+        df = reduce(DataFrame.unionByName, parts) if parts else self.quads
         for name, want in zip(KEYS, (s, p, o, g), strict=True):
             if want is None:
                 continue

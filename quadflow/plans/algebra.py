@@ -111,3 +111,21 @@ def visible(node: Node) -> list[str]:
 
     walk(node)
     return list(seen)
+
+
+def shared(node: Node) -> set[str]:
+    """The variables that occur in several groups of patterns or in a condition."""
+    groups: list[set[str]] = []
+    tests: set[str] = set()
+
+    def walk(n: Node) -> None:
+        if isinstance(n, BGP):
+            groups.append({v for t in n.triples for v in t.variables()})
+            return
+        if isinstance(n, (Filter, LeftJoin)) and n.condition is not None:
+            tests.update(n.condition.variables())
+        for x in (n.node,) if isinstance(n, Filter) else (n.left, n.right):
+            walk(x)
+
+    walk(node)
+    return tests | {v for i, g in enumerate(groups) for v in g if any(v in h for h in groups[:i])}

@@ -27,6 +27,7 @@ class Planner:
     def __init__(self, store: QuadStore, dataset: str = "store", max_limit: int | None = None) -> None:
         self.store, self.dataset, self.max_limit = store, dataset, max_limit
         self.steps: list[str] = []
+        self.needed: set[str] | None = None
 
     # patterns
     def units(self, triples: list[A.Triple]) -> list[list[A.Triple]]:
@@ -44,14 +45,21 @@ class Planner:
         names = list(dict.fromkeys(n for t in triples for n in t.variables()))
         if any(isinstance(x, str) and not x.startswith("<") for t in triples for x in (t.p, t.graph) if x is not None) or any(isinstance(t.s, str) and t.s.startswith('"') for t in triples):
             return empty(self.store.spark, names)  # a literal where none can stand
+        group = self.store.group_source()
         left = self.units(triples)
         weight = lambda u: sum(isinstance(x, str) for t in u for x in (t.s, t.o)) * 2 + sum(isinstance(t.p, str) for t in u)
         shared = lambda u, seen: len({n for t in u for n in t.variables()} & seen)
         out: Bindings | None = None
         seen: set[str] = set()
+        order: list[A.Triple] = []
         while left:
             best = max(left, key=lambda u: (shared(u, seen) > 0, shared(u, seen), weight(u)))
             left.remove(best)
+            if group is not None:  # it joins them itself
+                self.steps.append(f"{'scan' if not order else 'join' if shared(best, seen) else 'test or product'} {best}")
+                order += best
+                seen |= {n for t in best for n in t.variables()}
+                continue
             found = self.store.scan(best)
             ground = not any(t.variables() for t in best)
             self.steps.append(f"{'scan' if out is None else 'join' if shared(best, seen) else 'test' if ground else 'product'} {best}")
@@ -59,6 +67,9 @@ class Planner:
                 found = Bindings(found.df.limit(1), {}, set())
             out = found if out is None else join(out, found)
             seen |= set(found.forms)
+        if group is not None:
+            out = group.solve(order, self.needed)
+            return empty(self.store.spark, [n for n in names if self.needed is None or n in self.needed]) if out is None else out
         return out
 
     def node(self, n: A.Node) -> Bindings:
@@ -120,8 +131,10 @@ class Planner:
     def solutions(self, q: A.Query) -> Bindings:
         """The solutions of a query's pattern, ordered and cut as it says."""
         self._dataset(q)
-        out = self.node(q.where)
         names = A.visible(q.where) if q.variables is None else q.variables
+        # in a SELECT, what is neither shown, ordered or tested nor shared between groups of patterns need not become a term
+        self.needed = set(names) | {v for e, _ in q.order for v in e.variables()} | A.shared(q.where) if q.form == "SELECT" else None
+        out = self.node(q.where)
         if q.order:
             keys = [k for e, asc in q.order for k in sort_keys(e, asc, out)]
             if q.form == "SELECT" and q.distinct:

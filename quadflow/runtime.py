@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast once its size has been counted.
@@ -70,9 +70,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """written() and the number of rows, counted from the footers of the files."""
-    out = written(df, name)
-    return out, out.count()
+    """written() and the number of rows, observed while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -80,6 +81,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def state(spark: SparkSession, paths: list[str]) -> tuple:
+    """The files below some paths with their sizes and times: as long as it is equal, so are the tables."""
+    jvm, out = spark.sparkContext._jvm, []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = files.listStatus(path)
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+    return tuple(sorted(out))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quadflow.functions import terms as T
 from quadflow.operators.bindings import Form
 from quadflow.operators.store import QuadStore, TableSource
-from quadflow.runtime import table
+from quadflow.runtime import state, table
+from quadflow.sources.dictionary import DictionarySource
 
 EX = "http://ex.org/"
 XSD_OF = {"int": "int", "bigint": "long", "smallint": "short", "tinyint": "byte", "double": "double", "float": "float", "boolean": "boolean", "timestamp": "dateTime", "timestamp_ntz": "dateTime", "date": "date"}
@@ -64,19 +65,14 @@ def mapped_store(spark: SparkSession, sf_dir: str, tables: list[str] | None = No
     return store
 
 
-def rdf_store(spark: SparkSession, sf_dir: str) -> QuadStore:
-    """The statements of a dictionary-encoded store as quads; rows whose ids do not resolve are no quads.
+_opened: dict[tuple[str, str], tuple[tuple, QuadStore]] = {}
 
-    Ids become terms by two joins with the dictionaries; repeated statements count once.
-    """
-    statements = table(spark, sf_dir, "rdf_statements").select("subject", "predicate", "objecttype", "object", "meta").distinct()
-    named = table(spark, sf_dir, "rdf_entities").groupBy("id").agg(F.max_by("value", "added_at").alias("value")).select("id", T.c_iri(F.col("value")).alias("term"))
-    blank = table(spark, sf_dir, "rdf_bnodes").select("id").distinct().select("id", F.concat(F.lit("_:b"), F.col("id").cast("string")).alias("term"))
-    nodes = named.unionByName(blank)
-    texts = table(spark, sf_dir, "rdf_literals").groupBy("id").agg(F.max_by(F.struct("value", "language", "datatype"), "added_at").alias("v"))
-    texts = texts.select("id", T.c_term(F.lit("L"), F.col("v.value"), F.col("v.language"), F.col("v.datatype")).alias("term"))
-    keys = nodes.select(F.lit(0).alias("objecttype"), F.col("id").alias("object"), F.col("term").alias("o")).unionByName(texts.select(F.lit(1).alias("objecttype"), F.col("id").alias("object"), F.col("term").alias("o")))
-    joined = statements.join(keys, ["objecttype", "object"]).join(nodes.select(F.col("id").alias("subject"), F.col("term").alias("s")), "subject").join(named.select(F.col("id").alias("predicate"), F.col("term").alias("p")), "predicate")
-    graphs = joined.join(nodes.select(F.col("id").alias("meta"), F.col("term").alias("named")), "meta", "left")
-    g = F.when(F.col("meta") == 1, "").otherwise(F.coalesce("named", F.concat(F.lit("<urn:quadflow:graph:"), F.col("meta").cast("string"), F.lit(">"))))
-    return QuadStore.of(graphs.select("s", "p", "o", g.alias("g")).select("*", *T.c_parts(F.col("o"))))
+
+def rdf_store(spark: SparkSession, sf_dir: str) -> QuadStore:
+    """The statements of a dictionary-encoded store, matched on ids (see DictionarySource). A folder whose files are as
+    they were is opened once per application, so what was learned about its dictionaries is kept."""
+    names = [f"rdf_{n}" for n in ("statements", "entities", "bnodes", "literals")]
+    key, now = (spark.sparkContext.applicationId, sf_dir), state(spark, [f"{sf_dir}/{n}.parquet" for n in names])
+    if key not in _opened or _opened[key][0] != now:
+        _opened[key] = (now, QuadStore(spark, [DictionarySource(*[table(spark, sf_dir, n) for n in names])]))
+    return _opened[key][1]

@@ -143,17 +143,13 @@ def read_jdbc(spark: SparkSession, url: str, prefix: str = "", **options: str) -
 
     The driver's class must be on Spark's class path; options go to the JDBC source.
     """
-    get = lambda t: spark.read.format("jdbc").options(url=url, dtable=f"{prefix}{t}", dbtable=f"{prefix}{t}", **options).load()
+    get = lambda t: spark.read.format("jdbc").options(url=url, dbtable=f"{prefix}{t}", **options).load()
     return decoded(get("_statements"), get("_entities"), get("_literals"))
 
 
 def decoded(statements: DataFrame, entities: DataFrame, literals: DataFrame) -> DataFrame:
     """Quads of the three tables (subject, predicate, objecttype, object, meta), (id, value) and (id, value, language,
-    datatype); an id without an entity is a blank node; meta 1 is the default graph."""
-    text = literals.select(F.col("id").alias("object"), T.c_term(F.lit("L"), F.col("value"), F.col("language"), F.col("datatype")).alias("text"))
-    name = lambda c: entities.select(F.col("id").alias(c), T.c_iri(F.col("value")).alias(f"{c}_term"))
-    rows = statements.join(name("subject"), "subject", "left").join(name("predicate"), "predicate", "left").join(name("meta"), "meta", "left").join(name("object"), "object", "left").join(text, "object", "left")
-    blank = lambda c: F.coalesce(f"{c}_term", F.concat(F.lit("_:b"), F.col(c).cast("string")))
-    o = F.when(F.col("objecttype") == 1, F.col("text")).otherwise(blank("object"))
-    df = rows.select(blank("subject").alias("s"), blank("predicate").alias("p"), o.alias("o"), F.when(F.col("meta") == 1, "").otherwise(blank("meta")).alias("g"))
-    return df.where("o is not null").distinct().select("*", *T.c_parts(F.col("o")))
+    datatype); an id without an entity is a blank node; meta 1 is the default graph. Of an id's rows the latest counts."""
+    from quadflow.sources.dictionary import dictionary_source
+
+    return dictionary_source(statements.sparkSession, statements, entities, literals).quads()
