@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quadflow.runtime import scratch, small, written, written_counted
 
+#: Levels that one job goes down, a power of two.
+STRIDE = 8
+
 #: Stands for a null family in keys.
 NO_FAMILY = "\x00"
 NODE = "family string, node_id bigint, parent_id bigint, n_parents bigint, root_id bigint, depth bigint, path array<bigint>"
@@ -24,7 +27,23 @@ def link_edges(statements: DataFrame, predicates: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy(edges: DataFrame, with_path: bool = True) -> DataFrame:
+def strides(links: DataFrame, stride: int, with_path: bool) -> DataFrame:
+    """(family, top, child, parent, n_parents, steps, via): each link's child with its ancestors up to stride links above.
+
+    via runs from below top to child. Reach doubles with every join; as a child has one parent, a distance has at most
+    as many rows as there are links.
+    """
+    via = F.array("child") if with_path else F.lit(None).cast("array<bigint>")
+    now, reach = links.select("family", F.col("parent").alias("top"), "child", "parent", "n_parents", F.lit(1).cast("bigint").alias("steps"), via.alias("via")), 1
+    while reach < stride:
+        upper = now.where(F.col("steps") == reach).select("family", F.col("child").alias("mid"), F.col("top").alias("far"), F.col("via").alias("over"))
+        lower = now.withColumnRenamed("top", "mid")
+        more = lower.join(upper, ["family", "mid"]).select("family", F.col("far").alias("top"), "child", "parent", "n_parents", (F.col("steps") + reach).alias("steps"), F.concat("over", "via").alias("via"))
+        now, reach = written(now.unionByName(more), "strides"), 2 * reach
+    return now
+
+
+def hierarchy(edges: DataFrame, with_path: bool = True, stride: int = STRIDE) -> DataFrame:
     """One row per family and node: (family, node_id, parent_id, n_parents, root_id, depth, path).
 
     edges: (family, child, parent), in any order, repeated or not; further columns are ignored.
@@ -32,12 +51,13 @@ def hierarchy(edges: DataFrame, with_path: bool = True) -> DataFrame:
     how many there were. A node whose chain of parents never ends has depth -1, the smallest id of the loop as root and
     a null path. A row with a null child or parent is no link; null families form a family of their own. No edges: no rows.
 
-    Every level joins the frontier with the links still open and writes what it reached apart from what stays open, so a
-    link is read about as often as its depth says. Links still open when a frontier is empty are those of loops and of
-    what hangs below loops. path runs from the root to the node, both included; without with_path it is null.
+    Each join of a frontier with the links, taken together over the levels of a stride, reaches the next stride levels
+    and appends them; the lowest of them are the next frontier. Links not reached when a frontier is empty are those of
+    loops and of what hangs below loops. path runs from the root to the node, both included; without with_path it is
+    null.
     """
     spark = edges.sparkSession
-    links = written(
+    links, n_links = written_counted(
         edges.where("child is not null and parent is not null")
         .groupBy(F.coalesce(F.col("family"), F.lit(NO_FAMILY)).alias("family"), "child")
         .agg(F.min("parent").alias("parent"), F.count_distinct("parent").alias("n_parents")),
@@ -46,28 +66,27 @@ def hierarchy(edges: DataFrame, with_path: bool = True) -> DataFrame:
     children = links.select("family", F.col("child").alias("node_id"))
     roots = links.select("family", F.col("parent").alias("node_id")).distinct().join(children, ["family", "node_id"], "left_anti")
     no_id, no_path = F.lit(None).cast("bigint"), F.lit(None).cast("array<bigint>")
-    base, top, steps = scratch(spark, "levels"), scratch(spark, "roots"), "family string, child bigint, parent bigint, n_parents bigint, root_id bigint, depth bigint, path array<bigint>, reached boolean"
+    base = scratch(spark, "levels")
     roots.select(
         "family", "node_id", no_id.alias("parent_id"), F.lit(0).cast("bigint").alias("n_parents"), F.col("node_id").alias("root_id"),
         F.lit(0).cast("bigint").alias("depth"), (F.array("node_id") if with_path else no_path).alias("path"),
-    ).write.parquet(top)
-    tree = spark.read.schema(NODE).parquet(top)
-    front, still, level, counts = tree, links, 0, {True: 1}
-    while counts.get(True) and counts.get(False, level == 0):
-        step = still.join(front.select("family", F.col("node_id").alias("parent"), "root_id", "depth", "path"), ["family", "parent"], "left").select(
-            "family", "child", "parent", "n_parents", "root_id", (F.col("depth") + 1).alias("depth"),
-            (F.concat("path", F.array("child")) if with_path else no_path).alias("path"), F.col("root_id").isNotNull().alias("reached"),
+    ).write.parquet(f"{base}/level=0")
+    front, level, reached, more = spark.read.schema(NODE).parquet(f"{base}/level=0"), 0, 0, n_links
+    steps = strides(links, stride, with_path) if n_links else links
+    while more:
+        above = front.select("family", F.col("node_id").alias("top"), "root_id", "depth", "path")
+        found = steps.join(above, ["family", "top"]).select(
+            "family", F.col("child").alias("node_id"), F.col("parent").alias("parent_id"), "n_parents", "root_id", (F.col("depth") + F.col("steps")).alias("depth"),
+            F.concat("path", "via").alias("path"),
         )
-        level += 1
-        step.write.partitionBy("reached").parquet(f"{base}/level={level}")
-        now = spark.read.schema(steps).parquet(f"{base}/level={level}")
-        counts = {r["reached"]: r["count"] for r in now.groupBy("reached").count().collect()}
-        front = now.where("reached").select("family", F.col("child").alias("node_id"), F.col("parent").alias("parent_id"), "n_parents", "root_id", "depth", "path")
-        still = now.where("not reached").select("family", "child", "parent", "n_parents")
-    reached = spark.read.schema(steps + ", level int").parquet(base).where("reached")
-    tree = tree.unionByName(reached.select("family", F.col("child").alias("node_id"), F.col("parent").alias("parent_id"), "n_parents", "root_id", "depth", "path"))
-    if counts.get(False):
-        tree = tree.unionByName(loops(still))
+        level, seen = level + stride, Observation()
+        found.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("depth") == level).alias("last")).write.parquet(f"{base}/level={level}")
+        reached, more = reached + seen.get["n"], seen.get["last"]
+        front = spark.read.schema(NODE).parquet(f"{base}/level={level}").where(F.col("depth") == level)
+    tree = spark.read.schema(NODE + ", level int").parquet(base).drop("level")
+    if reached < n_links:
+        open_links = links.join(tree.where("depth > 0").select("family", F.col("node_id").alias("child")), ["family", "child"], "left_anti")
+        tree = tree.unionByName(loops(open_links))
     return tree.withColumn("family", F.when(F.col("family") != NO_FAMILY, F.col("family")))
 
 
@@ -83,8 +102,8 @@ def loops(links: DataFrame) -> DataFrame:
     while True:
         over = now.select("family", F.col("child").alias("up"), F.col("up").alias("up2"), F.col("least").alias("least2"))
         now = written(now.join(over, ["family", "up"]).select("family", "child", F.col("up2").alias("up"), F.least("least", "least2").alias("least"), "parent", "n_parents"), "loop")
-        ends = now.groupBy("family", "up").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("n"))
-        state = (ends.first()["n"], now.agg(F.sum(F.col("least").cast("decimal(38,0)")).alias("s")).first()["s"])
+        ends = now.groupBy("family", "up").agg(F.sum(F.col("least").cast("decimal(38,0)")).alias("s"))
+        state = tuple(ends.agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s")).first())
         if state == before:
             break
         before = state

@@ -17,7 +17,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy(_edges(spark, d), with_path=False).select("family", "node_id", "root_id", "depth")
+    return hierarchy(_edges(spark, d)).select("family", "node_id", "root_id", "depth")
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
