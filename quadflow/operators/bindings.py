@@ -191,6 +191,18 @@ def join(a: Bindings, b: Bindings, how: str = "inner", condition: Condition | No
         bound = Bindings(b.df.where(c.isNotNull()), b.forms, b.certain | {n})
         unbound = Bindings(b.df.where(c.isNull()).drop(column(n)), {k: f for k, f in b.forms.items() if k != n}, b.certain)
         return union(join(a, bound, how, condition), join(a, unbound, how, condition))
+    if maybe and not certain and how in ("left", "anti", "semi"):
+        # the right side's rows that bind the variable are matched by it, the others apart; what neither matches stays
+        n, c = maybe[0], F.col(f"`{column(maybe[0])}`")
+        bound = Bindings(b.df.where(c.isNotNull()), b.forms, b.certain | {n})
+        unbound = Bindings(b.df.where(c.isNull()).drop(column(n)), {k: f for k, f in b.forms.items() if k != n}, b.certain)
+        if how == "anti":
+            return join(join(a, bound, how, condition), unbound, how, condition)
+        if how == "semi":
+            return union(join(a, bound, how, condition), join(join(a, bound, "anti", condition), unbound, how, condition))
+        met = union(join(a, bound, "inner", condition), join(a, unbound, "inner", condition))
+        out = union(met, join(join(a, bound, "anti", condition), unbound, "anti", condition))
+        return Bindings(out.df, out.forms, set(a.certain))
     right = b.df.select(*[F.col(f"`{column(n)}`").alias(column(n) + "__r" if n in shared else column(n)) for n in b.forms])
     on = [F.col(f"`{column(n)}`") == F.col(f"`{column(n)}__r`") for n in certain]
     on += [(F.col(f"`{column(n)}`") == F.col(f"`{column(n)}__r`")) | F.col(f"`{column(n)}__r`").isNull() for n in maybe]
@@ -199,6 +211,7 @@ def join(a: Bindings, b: Bindings, how: str = "inner", condition: Condition | No
         on.append(condition(Bindings(a.df, forms, a.certain | (b.certain if how == "inner" else b.certain))))
     test = reduce(lambda x, y: x & y, on) if on else F.lit(True)
     if how in ("semi", "anti"):
+        right = right if on else right.limit(1)  # a test of existence
         return Bindings(a.df.join(right, test, f"left_{how}"), a.forms, a.certain)
     df = a.df.crossJoin(right) if how == "inner" and not on else a.df.join(right, test, how)
     return Bindings(df.drop(*[f"{column(n)}__r" for n in shared]), forms, a.certain | b.certain if how == "inner" else set(a.certain))

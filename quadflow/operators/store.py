@@ -323,27 +323,37 @@ class QuadStore:
         return self.quads.count()
 
     def lists(self, head_of: DataFrame | None = None) -> DataFrame:
-        """(head, items): every collection as an array, heads being cells no other cell's rest; a loop has no head.
+        """(head, items): every collection as an array, heads being cells no other cell's rest. A chain of cells that never
+        ends, as it runs into a loop, is no collection; one that breaks off ends there. Of several items or rests of a
+        cell the smallest counts. head_of: (cell) limits the heads.
 
-        Pointer doubling: a cell's distance to the end comes with logarithmically many joins.
+        Pointer doubling: the jump of 2^k cells comes from joining that of half as many with itself, and so do the cells
+        of each head, in rounds that grow with the logarithm of the longest collection.
         """
-        cells = self.quads.where(F.col("p") == T.RDF_REST).select(F.col("s").alias("cell"), F.col("o").alias("next")).distinct()
-        first = self.quads.where(F.col("p") == T.RDF_FIRST).groupBy(F.col("s").alias("cell")).agg(F.min("o").alias("item"))
-        from quadflow.runtime import written
+        from quadflow.runtime import written, written_counted
 
-        heads = cells.select("cell").subtract(cells.select(F.col("next").alias("cell")))
-        heads = heads if head_of is None else heads.join(head_of, "cell", "left_semi")
-        front = heads.select(F.col("cell").alias("head"), "cell", F.lit(0).alias("n"))
-        parts: DataFrame | None = None
+        rests = self.select(p=T.RDF_REST).groupBy(F.col("s").alias("cell")).agg(F.min("o").alias("next"))
+        first = self.select(p=T.RDF_FIRST).groupBy(F.col("s").alias("cell")).agg(F.min("o").alias("item"))
+        rests = written(rests, "rests")
+        cells, n = written_counted(rests.join(first, "cell"), "cells")
+        jump, far, jumps = cells.select("cell", F.col("next").alias("to")).join(cells.select(F.col("cell").alias("to")), "to", "left_semi"), 1, []
         while True:
-            front = written(front.join(first, "cell").join(cells, "cell").select("head", "n", "item", "next"), "list")
-            if front.isEmpty():
+            jump, left = written_counted(jump.select("cell", "to"), "jump")
+            if not left:
+                break
+            jumps.append(jump)
+            if far > n:  # no chain of n cells has so many: these have come round
                 break
-            parts = front if parts is None else parts.unionByName(front)
-            front = front.where(F.col("next") != T.RDF_NIL).select("head", F.col("next").alias("cell"), (F.col("n") + 1).alias("n"))
-        if parts is None:
-            return self.spark.createDataFrame([], "head string, items array<string>")
-        return parts.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias("items"))
+            jump, far = jump.join(jump.select(F.col("cell").alias("to"), F.col("to").alias("past")), "to").select("cell", F.col("past").alias("to")), 2 * far
+        heads = cells.select("cell").join(rests.select(F.col("next").alias("cell")), "cell", "left_anti")
+        heads = heads if head_of is None else heads.join(head_of, "cell", "left_semi")
+        if left:
+            heads = heads.join(jump.select("cell"), "cell", "left_anti")
+        reach, far = heads.select(F.col("cell").alias("head"), "cell", F.lit(0).cast("bigint").alias("n")), 1
+        for jump in jumps:
+            reach = written(reach.unionByName(reach.join(jump, "cell").select("head", F.col("to").alias("cell"), (F.col("n") + far).alias("n"))), "list")
+            far *= 2
+        return reach.join(cells.select("cell", "item"), "cell").groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias("items"))
 
     # changes
     def _new(self, quads: DataFrame, distinct: bool = True) -> QuadStore:
@@ -401,9 +411,16 @@ class QuadStore:
         df = self.quads.select(*[change(F.col(k)).alias(k) for k in KEYS])
         return self._new(df.select("*", *T.c_parts(F.col("o"))), self.distinct)
 
-    def write(self, path: str) -> None:
-        """The quads as Parquet, laid out by predicate so that a pattern reads only its files."""
-        self.quads.repartition("p").sortWithinPartitions("p", "s").write.mode("overwrite").parquet(path)
+    def write(self, path: str, overwrite: bool = False) -> None:
+        """The quads as Parquet, in ranges of predicate, subject and object, so that a pattern reads only its files and a
+        predicate of a third of all quads is many of them. overwrite replaces what is there, except what the store
+        itself is read from, which is an error."""
+        df = self.quads
+        if overwrite:
+            plain = lambda x: "/" + x.split(":", 1)[-1].lstrip("/")
+            if any(plain(f).startswith(plain(path).rstrip("/") + "/") for f in df.inputFiles()):
+                raise ValueError(f"the store is read from {path}")
+        df.repartitionByRange("p", "s", "o").sortWithinPartitions("p", "s", "o").write.mode("overwrite" if overwrite else "error").parquet(path)
 
     # queries
     def match(self, triples: list[Triple], known: dict[str, list[str]] | None = None, filters: dict[str, list] | None = None, distinguished: list[str] | None = None, limit: int | None = None) -> DataFrame:

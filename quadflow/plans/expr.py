@@ -24,7 +24,8 @@ _META = re.compile(r"[\\.\[\]{}()*+?|^$]")
 class Val:
     """A value by type: each present entry gives it as that type, null where it is of another one.
 
-    text is the lexical form or IRI, term the canonical term, kind its kind. exact says that num is not a double.
+    text is the lexical form or IRI, term the canonical term, kind its kind. exact gives an integer or decimal, null for
+    others and beyond 38 digits, where num is but a double.
     """
 
     term: Callable[[], Column]
@@ -34,6 +35,18 @@ class Val:
     only: bool = False  # never of another type than those in typed
     lang: Callable[[], Column] | None = None
     datatype: Callable[[], Column] | None = None
+    exact: Callable[[], list[Column]] | None = None
+
+
+def _exact(text: Column, datatype: Column | None = None) -> list[Column]:
+    """A number as decimal(38,18) and, if it is whole, as decimal(38,0); null where it does not fit."""
+    plain = text.rlike(r"^\s*[+-]?([0-9]{1,20}(\.[0-9]{0,18})?|\.[0-9]{1,18})\s*$")
+    whole = text.rlike(r"^\s*[+-]?[0-9]{1,38}\s*$")
+    if datatype is not None:
+        able = datatype.isin(*[T.XSD + n for n in (*T.INTEGERS, "decimal")])
+        plain, whole = able & plain, able & whole
+    bare = F.trim(F.regexp_replace(text, r"\s", ""))
+    return [F.when(plain, bare.try_cast("decimal(38,18)")), F.when(whole, bare.try_cast("decimal(38,0)"))]
 
 
 def _null(kind: str = "string") -> Column:
@@ -64,6 +77,7 @@ def _of_term(c: Column) -> Val:
             "time": lambda: F.when(dt.isin(T.XSD + "dateTime", T.XSD + "date"), text.try_cast("timestamp")),
         },
         lang=lambda: lang, datatype=lambda: F.when(c.startswith('"') & (lang == ""), F.coalesce(dt, F.lit(T.XSD + "string"))),
+        exact=lambda: _exact(text, dt),
     )
 
 
@@ -75,6 +89,7 @@ def _of_constant(term: str) -> Val:
         if name in T.NUMERIC and value is not None:
             v = _of_typed("num", F.lit(t.value).cast("double") if name in ("float", "double") else F.lit(int(value)) if isinstance(value, int) and abs(value) < 2**63 else F.lit(t.value).cast("decimal(38,18)"), t.datatype)
             v.text, v.term = (lambda: F.lit(t.value)), (lambda: F.lit(term))
+            v.exact = None if name in ("float", "double") else lambda: _exact(F.lit(t.value))
             return v
         if name in ("", "string") and t.datatype in (None, T.XSD + "string"):
             return _of_typed("str", F.lit(t.value), t.datatype or "")
@@ -110,7 +125,9 @@ def _of_variable(name: str, b: Bindings) -> Val:
             typed["time"] = lambda: c
         elif short in T.NUMERIC:
             typed["num"] = lambda: T.c_double(c)
+    natural = form.how == "literal" and (form.type in ("int", "bigint", "smallint", "tinyint") or form.type.startswith("decimal"))
     return Val(
+        exact=(lambda: [c.try_cast("decimal(38,18)"), c.cast("decimal(38,0)") if not form.type.startswith("decimal") else _null("decimal(38,0)")]) if natural else None,
         term=lambda: form.term(c), kind=lambda: there(form.kind), text=lambda: form.text(c), typed=typed, only=True,
         lang=lambda: there(form.lang or "") if form.how == "literal" else _null(), datatype=lambda: there(form.datatype or T.XSD + "string") if form.how == "literal" and not form.lang else _null(),
     )
@@ -127,6 +144,8 @@ def compare(op: str, a: Val, b: Val) -> Column:
     """= and != by value where both are of one type, else by term; the others by value only."""
     shared = [t for t in TYPES if t in a.typed and t in b.typed]
     tests = [_OPS[op](a.typed[t](), b.typed[t]()) for t in shared]
+    if "num" in shared and a.exact and b.exact and not (a.only and b.only):  # exactly where both can, else as doubles
+        tests = [_OPS[op](x, y) for x, y in zip(a.exact(), b.exact(), strict=True)] + tests
     if op in ("=", "!=") and not (len(shared) == 1 and a.only and b.only and len(a.typed) == len(b.typed) == 1):
         same = a.term() == b.term()
         literals = (a.kind() == "L") & (b.kind() == "L")
@@ -281,7 +300,16 @@ def _cast(to: str, v: Val) -> Val:
     if to in ("float", "double"):
         return _of_typed("num", _first([c.cast("double") for c in ([v.typed["num"]()] if v.only and "num" in v.typed else [T.c_double(text)])] + [c.cast("double") for c in truths]), datatype)
     if to in (*T.INTEGERS, "decimal"):
-        number = _first([T.c_double(text).try_cast("decimal(38,18)") if not (v.only and "num" in v.typed) else v.typed["num"]().try_cast("decimal(38,18)"), *[c.cast("decimal(38,18)") for c in truths]])
+        # numbers and truths by value, cut off towards zero for integers; other literals by their text, which must be one
+        if v.only and "num" in v.typed:
+            number = v.typed["num"]().try_cast("decimal(38,18)")
+        elif v.typed:
+            value_ = F.coalesce(_exact(text)[0], v.typed["num"]().try_cast("decimal(38,18)")) if "num" in v.typed else _null("decimal(38,18)")
+            number = F.coalesce(F.when(v.typed["num"]().isNotNull(), value_) if "num" in v.typed else value_, *[c.cast("decimal(38,18)") for c in truths])
+        else:
+            number = _null("decimal(38,18)")
+        lexical = text.rlike(r"^\s*[+-]?[0-9]+\s*$") if to != "decimal" else text.rlike(r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\s*$")
+        number = F.coalesce(number, F.when(lexical, _exact(text)[0]))
         whole = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
         return _of_typed("num", whole if to != "decimal" else number, datatype)
     raise ValueError(f"no cast to {to}")

@@ -141,8 +141,10 @@ class Planner:
                 shown = [F.col(f"`{column(n)}`") for n in names if n in out.forms]
                 if {v for e, _ in q.order for v in e.variables()} <= set(names):
                     out = Bindings(out.keep(names).df.distinct(), {n: out.forms[n] for n in names if n in out.forms}, out.certain & set(names))
+                elif not shown:  # all are shown alike
+                    out = Bindings(out.df.orderBy(*keys).limit(1), out.forms, out.certain)
                 else:  # of solutions that are shown alike, the first in order stands for all
-                    first = F.row_number().over(Window.partitionBy(*(shown or [F.lit(0)])).orderBy(*keys))
+                    first = F.row_number().over(Window.partitionBy(*shown).orderBy(*keys))
                     out = Bindings(out.df.withColumn("__first", first).where("__first = 1").drop("__first"), out.forms, out.certain)
                 keys = [k for e, asc in q.order for k in sort_keys(e, asc, out)]
             out = Bindings(out.df.orderBy(*keys), out.forms, out.certain)

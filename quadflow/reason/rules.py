@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -48,12 +49,13 @@ class RuleEngine:
     """rules, and axioms: statements that hold without premises. A body is read in one graph, the default one.
 
     A new blank node is labelled by the hash of its rule and the variables' values, so a rule that fires again on the
-    same premises adds nothing; max_rounds bounds rules that keep on making new ones.
+    same premises adds nothing. Rounds go on until one adds nothing; rules that make new nodes out of new nodes for ever
+    can be stopped with an error by max_rounds, which is off unless it is set.
     """
 
     rules: list[Rule]
     axioms: list[tuple] = field(default_factory=list)
-    max_rounds: int = 200
+    max_rounds: int | None = None
 
     def apply(self, quads: DataFrame) -> DataFrame:
         """Quads with what follows from those of the default graph; the reasoner's place in a store."""
@@ -73,7 +75,9 @@ class RuleEngine:
             base = base.unionByName(spark.createDataFrame([tuple(a[:3]) for a in self.axioms], "s string, p string, o string")).distinct()
         known = [written(base.select("s", "p", "o", F.lit(-1).alias("rule"), F.array().cast("array<string>").alias("premises")), "known")]
         delta = known[0]
-        for turn in range(self.max_rounds):
+        for turn in itertools.count():
+            if self.max_rounds is not None and turn >= self.max_rounds:
+                raise RuntimeError(f"rules still give new statements after {self.max_rounds} rounds")
             everything = reduce(DataFrame.unionByName, known)
             found = []
             for i, r in enumerate(self.rules):
@@ -93,8 +97,6 @@ class RuleEngine:
             known.append(delta)
             if len(known) > COMPACT:
                 known = [written(reduce(DataFrame.unionByName, known), "known")]
-        else:
-            raise RuntimeError(f"rules still give new statements after {self.max_rounds} rounds")
         return reduce(DataFrame.unionByName, known)
 
     def _fire(self, i: int, r: Rule, known: DataFrame, delta: DataFrame, at: int | None) -> DataFrame:
@@ -132,42 +134,33 @@ class RuleEngine:
         todo = [b for b in r.body if isinstance(b, Call)]
         while todo:
             bound = lambda x: isinstance(x, str) or x.name in out.forms
-            col = lambda x: M.number(F.lit(x) if isinstance(x, str) else F.col(f"`{column(x.name)}`"))
+            col = lambda x: F.lit(x) if isinstance(x, str) else F.col(f"`{column(x.name)}`")
             for c in todo:
                 inputs = all(bound(a) for a in c.args)
                 if c.name in M.CUSTOM:
                     forward, reverse = M.CUSTOM[c.name]
-                    text = lambda x: F.lit(x) if isinstance(x, str) else F.col(f"`{column(x.name)}`")
                     if inputs:
-                        value = forward(*[text(a) for a in c.args])
-                        out = out.where(value == text(c.out)) if bound(c.out) else _bound(out, c.out.name, value)
+                        value = forward(*[col(a) for a in c.args])
+                        out = out.where(value == col(c.out)) if bound(c.out) else _bound(out, c.out.name, value)
                         break
                     if reverse is not None and bound(c.out) and len(c.args) == 1:
-                        out = _bound(out, c.args[0].name, reverse(text(c.out)))
+                        out = _bound(out, c.args[0].name, reverse(col(c.out)))
                         break
                     continue
                 if c.name in M.TEST:
                     pair = (*c.args, c.out) if len(c.args) == 1 else c.args
                     if inputs and (len(c.args) == 2 or bound(c.out)):
-                        test = F.coalesce(M.TEST[c.name](*[col(x) for x in pair]), F.lit(False))
+                        test = M.test(c.name, *[col(x) for x in pair])
                         if len(c.args) == 2 and bound(c.out):
-                            test = test == T.c_boolean(T.c_text(F.lit(c.out) if isinstance(c.out, str) else F.col(f"`{column(c.out.name)}`")))
+                            test = test == T.c_boolean(T.c_text(col(c.out)))
                         out = out.where(test)
                         break
                 elif inputs:
-                    if c.name in M.UNARY:
-                        value = M.UNARY[c.name][0](col(c.args[0]))
-                    elif c.name in M.PAIR:
-                        value = M.PAIR[c.name](*[col(a) for a in c.args])
-                    else:
-                        value = M.FOLD[c.name]([col(a) for a in c.args])
-                    if bound(c.out):
-                        out = out.where(F.abs(value - col(c.out)) <= 1e-9 * F.greatest(F.abs(value), F.lit(1.0)))
-                    else:
-                        out = _with(out, c.out.name, value)
+                    value = M.relation(c.name, [col(a) for a in c.args])
+                    out = out.where(M.same(value, col(c.out))) if bound(c.out) else _bound(out, c.out.name, value)
                     break
                 elif c.name in M.UNARY and M.UNARY[c.name][1] and bound(c.out):
-                    out = _with(out, c.args[0].name, M.UNARY[c.name][1](col(c.out)))
+                    out = _bound(out, c.args[0].name, M.reverse(c.name, col(c.out)))
                     break
             else:
                 raise ValueError(f"unsafe rule {r.name or r.head}: {[c.name for c in todo]} lack inputs")
@@ -201,9 +194,3 @@ def _bound(out: Bindings, name: str, value: Column) -> Bindings:
     """out with a variable bound to a term, without the solutions in which that is null."""
     df = out.df.withColumn(column(name), value)
     return Bindings(df.where(F.col(f"`{column(name)}`").isNotNull()), out.forms | {name: Form()}, out.certain | {name})
-
-
-def _with(out: Bindings, name: str, value: Column) -> Bindings:
-    counted = Bindings(out.df.withColumn("__number", value), out.forms, out.certain)
-    found = _bound(counted, name, M.number_term(F.col("__number")))
-    return Bindings(found.df.drop("__number"), found.forms, found.certain)

@@ -496,3 +496,48 @@ def test_connectivity():
     nodes, matrix = G.connectivity(s)
     assert nodes == ["<u:a>", "<u:b>", "<u:c>"] and matrix[0][1] and matrix[1][0] and not matrix[0][2]
     assert [sorted(x) for x in G.connected_subgraphs(s)][3:] == [["<u:a>", "<u:b>"], ["<u:b>", "<u:c>"], ["<u:a>", "<u:b>", "<u:c>"]]
+
+
+def test_numbers_beyond_doubles(spark):
+    big = 2**53
+    store = QuadStore.from_statements(spark, [(f"<u:s{i}>", "<u:n>", f'"{big + i}"^^<{T.XSD}integer>') for i in range(3)])
+    q = lambda test: {r[0] for r in store.query(f"SELECT ?s {{ ?s <u:n> ?x FILTER({test}) }}").collect()}
+    assert q(f"?x = {big + 1}") == {"<u:s1>"} and q(f"?x > {big}") == {"<u:s1>", "<u:s2>"} and q(f"?x != {big + 1}") == {"<u:s0>", "<u:s2>"}
+    v = Var
+    rule = Rule([Triple(v("a"), "<u:n>", v("x")), Call("sum", (v("x"), '"0"'), v("y"))], [Triple(v("a"), "<u:y>", v("y"))])
+    got = {r["o"] for r in RuleEngine([rule]).infer(store.quads).where("p = '<u:y>'").collect()}
+    assert got == {f'"{big + i}"^^<{T.XSD}integer>' for i in range(3)}
+    near = Rule([Triple(v("a"), "<u:n>", v("x")), Call("sum", ('"1000000000000"', '"0"'), '"1000000000100"')], [Triple(v("a"), "<u:y>", v("x"))])
+    assert RuleEngine([near]).infer(store.quads).where("p = '<u:y>'").count() == 0
+
+
+def test_cast_to_integer_takes_its_lexical_form(spark):
+    store = QuadStore.from_statements(spark, [("<u:a>", "<u:n>", '"1.5"'), ("<u:b>", "<u:n>", '"7"'), ("<u:c>", "<u:n>", f'"2.9"^^<{T.XSD}decimal>'), ("<u:d>", "<u:n>", '"9007199254740993"')])
+    q = lambda n: {r[0] for r in store.query(f"PREFIX xsd: <{T.XSD}> SELECT ?s {{ ?s <u:n> ?x FILTER(xsd:integer(?x) = {n}) }}").collect()}
+    assert q(1) == set() and q(7) == {"<u:b>"} and q(2) == {"<u:c>"} and q(2**53 + 1) == {"<u:d>"}
+
+
+def test_lists_that_loop_or_break_off(spark):
+    cell = lambda c, item, rest: [(f"<u:{c}>", T.RDF_FIRST, f'"{item}"'), (f"<u:{c}>", T.RDF_REST, rest)]
+    rows = [*cell("a", 1, "<u:b>"), *cell("b", 2, "<u:c>"), *cell("c", 3, "<u:b>"), *cell("p", 1, "<u:q>"), *cell("q", 2, "<u:p>")]
+    rows += [x for i in range(40) for x in cell(f"k{i}", i, f"<u:k{i + 1}>" if i < 39 else T.RDF_NIL)] + [*cell("m", 8, "<u:n>"), *cell("n", 9, "<u:gone>")]
+    got = {r["head"]: list(r["items"]) for r in QuadStore.from_statements(spark, rows).lists().collect()}
+    assert got == {"<u:k0>": [f'"{i}"' for i in range(40)], "<u:m>": ['"8"', '"9"']}
+
+
+def test_optional_on_what_the_right_side_may_leave_open(spark):
+    s = QuadStore.from_statements(spark, [("<u:1>", "<u:p>", "<u:x>"), ("<u:2>", "<u:p>", "<u:y>"), ("<u:x>", "<u:q>", '"1"'), ("<u:z>", "<u:r>", '"2"')])
+    rows = {tuple(r) for r in s.query("SELECT ?a ?x ?b { ?a <u:p> ?x OPTIONAL { { ?x <u:q> ?b } UNION { ?w <u:none> ?b } } }").collect()}
+    assert rows == {("<u:1>", "<u:x>", '"1"'), ("<u:2>", "<u:y>", None)}
+    rows = {tuple(r) for r in s.query("SELECT ?a ?x ?b { ?a <u:p> ?x OPTIONAL { { ?x <u:q> ?b } UNION { ?w <u:r> ?b } } }").collect()}
+    assert rows == {("<u:1>", "<u:x>", '"1"'), ("<u:1>", "<u:x>", '"2"'), ("<u:2>", "<u:y>", '"2"')}
+
+
+def test_store_is_not_written_over_itself(spark, tmp_path):
+    s = QuadStore.from_statements(spark, [("<u:1>", "<u:p>", "<u:x>")])
+    s.write(str(tmp_path / "a"))
+    again = QuadStore.of(spark.read.parquet(str(tmp_path / "a")), True)
+    with pytest.raises(ValueError):
+        again.write(str(tmp_path / "a"), overwrite=True)
+    s.write(str(tmp_path / "a"), overwrite=True)
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 1
