@@ -47,6 +47,13 @@ def p2_wide(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d)
 
 
+def p2_wide_text(spark: SparkSession, d: str) -> DataFrame:
+    """p2_wide with every cell as text, arrays parted by a line break."""
+    wide = _wide(spark, d)
+    text = lambda c, t: F.array_join(F.col(c).cast("array<string>"), "\n") if t.startswith("array") else F.regexp_replace(F.col(c).cast("string"), r"\.?0+$", "") if t == "decimal(38,18)" else F.format_string("%.6e", F.col(c)) if t == "double" else F.col(c).cast("string")
+    return wide.select(*[F.when(F.col(c).isNotNull(), text(c, t)).alias(c) for c, t in wide.dtypes if not c.endswith("__exact")])
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans(spans(*[table(spark, d, t) for t in ("rdf_entities", "rdf_bnodes", "rdf_literals")]), references(table(spark, d, "rdf_statements")))
 
@@ -68,7 +75,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys(p7_stats(spark, d), statements.count())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_all_descendants, p2_found, p2_wide, p6_found, p6_report, p7_found, p7_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_all_descendants, p2_found, p2_wide, p2_wide_text, p6_found, p6_report, p7_found, p7_stats)}
 
 _LINKS = """
 link as (select link_family as family, case when link_direction = 'up' then subject else object end as child,
@@ -104,6 +111,19 @@ typed as (select subject, column_name, case
   when column_type = 'boolean' and t in ('true', '1') then 'true' when column_type = 'boolean' and t in ('false', '0') then 'false'
   when column_type = 'date' and regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') then cast(try_cast(t as date) as varchar) end as v from val)
 """
+#: The columns of rdf_predicates, the same at every scale: name -> type, with * for many values.
+_COLUMNS = {"alt_label": "string*", "area_km2": "decimal", "description": "string*", "entry_fee": "decimal", "founded_on": "date", "height_cm": "integer", "is_listed": "boolean", "is_open": "boolean", "label": "string*", "population": "integer", "rating": "double", "seats": "integer", "surveyed_on": "date"}
+_ALL_CELLS = _CELLS.replace("column_name is not null and single_valued", "column_name is not null").replace("end as t\n", "end as t, l.value as raw\n").replace("end as v from val", "when column_type = 'string' then raw end as v from val").replace("cast(try_cast(t as double) + 0 as varchar)", "case when isnan(try_cast(t as double)) then 'NaN' when isinf(try_cast(t as double)) then if(t[1] = '-', '-Infinity', 'Infinity') else printf('%.6e', try_cast(t as double) + 0) end")
+
+
+def _pick(name: str, kind: str) -> str:
+    mine = f"filter (where column_name = '{name}')"
+    if kind.endswith("*"):
+        return f"case when count(*) {mine} > 0 then coalesce(string_agg(distinct v, chr(10) order by v) {mine}, '') end as {name}"
+    state = f"case when count(*) {mine} = 0 then null when count(v) {mine} = 0 then 'unreadable' when count(distinct v) {mine} > 1 then 'conflict' else 'ok' end"
+    return f"case when count(distinct v) {mine} = 1 then min(v) {mine} end as {name}, {state} as {name}__state"
+
+
 _REFS = """with ref as (
   select stmt_id, added_at as moment, 'subject' as side, 'resource' as parent_table, subject as key from rdf_statements where subject is not null
   union all select stmt_id, added_at, 'object', case objecttype when 0 then 'resource' else 'literal' end, object from rdf_statements where object is not null and objecttype in (0, 1)),
@@ -122,6 +142,7 @@ SQL = {
     "p1_descendants": _TREE
     + ", pair as (select family, parent as ancestor_id, child as node_id, cast(1 as bigint) as distance from link semi join tree on tree.family = link.family and tree.node_id = link.child union all select p.family, l.parent, p.node_id, p.distance + 1 from pair p join link l on l.family = p.family and l.child = p.ancestor_id) select * from pair",
     "p2_found": _CELLS + "select subject, column_name, case when count(v) = 0 then 'unreadable' else 'conflict' end as state from typed group by 1, 2 having count(v) = 0 or count(distinct v) > 1",
+    "p2_wide_text": _ALL_CELLS + "select cast(subject as varchar) as subject, " + ", ".join(_pick(c, t) for c, t in _COLUMNS.items()) + " from typed group by typed.subject",
     "p6_found": _REFS + "select stmt_id, side, state from orphan",
     "p6_report": _REFS + "select parent_table, side, state, strftime(moment at time zone 'UTC', '%Y-%m') as period, count(*) as n_refs, count(distinct key) as n_keys from orphan group by all",
     "p7_found": _KEYED + "select field_name, key_id from keyed where key_id is not null group by 1, 2 having count(*) >= 0.05 * (select count(*) from rdf_statements)",

@@ -137,6 +137,15 @@ def test_wide_table_cells(spark):
     assert {tuple(r) for r in P.unfilled(wide).collect()} == want
 
 
+def test_wide_table_loses_no_digit(spark):
+    lits = [(10, "0.12345678901234567"), (11, "9" * 40), (12, "0." + "1" * 19), (13, "-00012345678901234567890.5")]
+    by = {r["subject"]: r for r in _wide(spark, [(1, 3, 1, 10), (2, 1, 1, 11), (3, 3, 1, 12), (4, 3, 1, 13), (5, 3, 1, 11)], lits).collect()}
+    assert str(by[1]["d"]).rstrip("0") == "0.12345678901234567" and by[1]["d__state"] == "ok" and by[1]["d__exact"] is None
+    assert (by[2]["n"], by[2]["n__state"], by[2]["n__exact"]) == (None, "inexact", "9" * 40)
+    assert (by[3]["d"], by[3]["d__state"], by[3]["d__exact"]) == (None, "inexact", "0." + "1" * 19)
+    assert str(by[4]["d"]).rstrip("0") == "-12345678901234567890.5" and by[5]["d__exact"] == "9" * 40
+
+
 def test_wide_table_of_nothing_and_of_a_hot_subject(spark):
     assert _wide(spark, [], []).count() == 0
     hot = _wide(spark, [(1, 1 + i % 2, 1, 10 + i % 2) for i in range(3000)] + [(i, 1, 1, 10) for i in range(2, 50)], [(10, "5"), (11, "6")])
