@@ -12,11 +12,12 @@ from quadflow.runtime import scratch, small
 
 #: Hash bits per level, and so 2^BITS partitions of a partition.
 BITS = 4
-#: Rows above which a partition is split further.
-LIMIT = 1 << 20
-#: Levels at most: 64 hash bits. Beyond, equal (term, record) pairs are all that is left, which DuckDB folds into one.
+#: Bytes of a partition, text and numbers as they are in memory, above which it is split further.
+LIMIT = 64 << 20
+#: Levels at most: 64 hash bits.
 LEVELS = 64 // BITS - 1
-DUCKDB_MEMORY = "256MB"
+#: What DuckDB may use for one partition, several times as much as it holds.
+DUCKDB_MEMORY = "512MB"
 
 TERMS = "field_name string, term string, record bigint, n bigint"
 PARTIAL = "field_name string, term string, occurrences bigint, records bigint"
@@ -27,25 +28,27 @@ def _digit(key: Column, level: int) -> Column:
 
 
 def _partitions(spark: SparkSession, terms: DataFrame, limit: int) -> list[str]:
-    """Folders that hold the rows, each with at most limit rows unless they are all of one (term, record) pair.
+    """Folders that hold the rows, each with at most limit bytes as far as hashes can part them.
 
     Level 0 goes by the term's hash, so most terms are whole in one partition; below, by the hash of term and record, so
-    one heavy term is split too while each (term, record) pair stays in one place and distinct records add up. Each
-    level is a partitioned write without an exchange. The driver sees one count per partition.
+    one heavy term is split too while each (term, record) pair stays in one place and distinct records add up. A level
+    is one partitioned write of all partitions that are too large, without an exchange, and one job that sums up sizes;
+    the driver sees one row per partition.
     """
     done: list[str] = []
-    todo: list[tuple[DataFrame, int, int]] = [(terms, 0, -1)]
-    while todo:
-        rows, level, above = todo.pop()
+    rows, where = terms, F.lit("")
+    for level in range(LEVELS + 1):
         key = F.xxhash64("field_name", "term") if level == 0 else F.xxhash64("field_name", "term", "record")
         at = scratch(spark, f"radix{level}")
-        rows.withColumn("radix", _digit(key, level)).write.partitionBy("radix").parquet(at)
-        for r in spark.read.schema(TERMS + ", radix int").parquet(at).groupBy("radix").count().collect():
-            folder, count = f"{at}/radix={r['radix']}", r["count"]
-            if count > limit and level < LEVELS and not (level > 1 and count == above):
-                todo.append((spark.read.schema(TERMS).parquet(folder), level + 1, count))
-            else:
-                done.append(folder)
+        rows.withColumn("radix", F.concat(where, F.format_string("%02d", _digit(key, level)))).write.partitionBy("radix").parquet(at)
+        sizes = spark.read.schema(TERMS + ", radix string").parquet(at).groupBy("radix").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term") + F.octet_length("field_name") + 16).alias("bytes"))
+        large = []
+        for r in sizes.collect():  # a row per partition
+            split = r["bytes"] > limit and r["n"] > 1 and level < LEVELS
+            (large if split else done).append(f"{at}/radix={r['radix']}")
+        if not large:
+            break
+        rows, where = spark.read.schema(TERMS + ", radix string").option("basePath", at).parquet(*large), F.concat("radix", F.lit("-"))
     return done
 
 
@@ -57,16 +60,13 @@ def _aggregate(folders: list[str], spill: str):  # noqa: ANN202
 
         for b in batches:
             for i in b.column(0).to_pylist():
-                files, path = fs.FileSystem.from_uri(folders[i] if "://" in folders[i] else folders[i].replace("file:/", "file:///", 1))
-                config = {"threads": 1, "memory_limit": DUCKDB_MEMORY, "preserve_insertion_order": False}
-                if spill.startswith(("file:", "/")):  # else a partition has to fit, which its row limit sees to
-                    config["temp_directory"] = f"/{spill.removeprefix('file:').lstrip('/')}/{i}"
+                files, path = fs.FileSystem.from_uri(folders[i].replace("file:/", "file:///", 1) if not folders[i].startswith("file://") else folders[i])
+                # spilled into the shared folder where that is a path, else nowhere: a partition fits by its limit of bytes
+                local = spill.startswith("file:")
+                config = {"threads": 1, "memory_limit": DUCKDB_MEMORY, "preserve_insertion_order": False, "temp_directory": f"/{spill[5:].lstrip('/')}/{i}" if local else ""}
                 with duckdb.connect(config=config) as con:
                     con.register("spilled", ds.dataset(path, filesystem=files, format="parquet"))
-                    out = con.sql(
-                        "select field_name, term, cast(sum(n) as bigint) as occurrences, count(*) as records from "
-                        "(select field_name, term, record, sum(n) as n from spilled group by all) group by all"
-                    )
+                    out = con.sql("select field_name, term, cast(sum(n) as bigint) as occurrences, count(*) as records from spilled group by all")
                     yield from out.to_arrow_reader(100_000)
 
     return run
@@ -77,12 +77,13 @@ def term_frequencies(terms: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     terms: (field_name, term, record, n), n occurrences in one part of the record; several rows per term and record add
     up. A null term or record is left out; an empty term is a term. Further columns are ignored. No rows: no terms.
-    A partition is read by one task, which streams its files through DuckDB with a fixed memory limit and a spill folder
-    in the shared folder. A term split over several partitions is summed up at the end.
+    The rows of a term and record are summed up before anything is written, so no pair however frequent weighs more than
+    another. A partition is read by one task, which streams its files through DuckDB with a fixed memory limit and a
+    spill folder in the shared folder. A term split over several partitions is summed up at the end.
     """
     spark = terms.sparkSession
     kept = terms.where("term is not null and record is not null and n > 0").select(F.coalesce("field_name", F.lit("")).alias("field_name"), "term", F.col("record").cast("bigint").alias("record"), F.col("n").cast("bigint").alias("n"))
-    folders = _partitions(spark, kept, limit)
+    folders = _partitions(spark, kept.groupBy("field_name", "term", "record").agg(F.sum("n").alias("n")), limit)
     if not folders:
         return spark.createDataFrame([], PARTIAL)
     partials = spark.range(0, len(folders), 1, len(folders)).mapInArrow(_aggregate(folders, scratch(spark, "duckdb")), PARTIAL)
