@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from quadflow.runtime import written
 
@@ -26,9 +24,10 @@ def normal_fields(value: Column, separator: str = ";") -> Column:
     return F.filter(F.transform(F.split(value, separator), normalized), lambda x: x != "")
 
 
-def pair_hashes(pairs: Column) -> Column:
-    """Two 64-bit hashes of each (name, value) pair."""
-    return F.transform(pairs, lambda x: F.struct(F.xxhash64(x["name"], x["value"]).alias("first"), F.xxhash64(F.lit(0x5BD1E995), x["value"], x["name"]).alias("second")))
+def pair_hashes(pairs: Column, turn: int = 0) -> Column:
+    """Two 64-bit hashes of each (name, value) pair, others in every turn."""
+    salt = [F.lit(turn)] if turn else []
+    return F.transform(pairs, lambda x: F.struct(F.xxhash64(*salt, x["name"], x["value"]).alias("first"), F.xxhash64(*salt, F.lit(0x5BD1E995), x["value"], x["name"]).alias("second")))
 
 
 def fingerprint(hashes: Column, bits: int = 128) -> Column:
@@ -44,9 +43,12 @@ def fingerprint(hashes: Column, bits: int = 128) -> Column:
     return F.struct(half("first", 0).alias("a"), half("first", 32).alias("b"), half("second", 0).alias("c"), half("second", 32).alias("d"))
 
 
-@F.pandas_udf(BooleanType())
-def _same_counts(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([Counter(x) == Counter(y) for x, y in zip(a, b, strict=True)])
+def same_fields(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same texts equally often, in any order."""
+    times = lambda fields, x: F.size(F.filter(fields, lambda y: y == x))
+    as_sets = (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+    once = F.size(F.array_distinct(a)) == F.size(a)
+    return (F.size(a) == F.size(b)) & as_sets & (once | F.forall(F.array_distinct(a), lambda x: times(a, x) == times(b, x)))
 
 
 def copy_groups(records: DataFrame, id_column: str = "id", value: str = "value", names: tuple[str, ...] = ("language", "datatype"), bits: int = 128) -> DataFrame:
@@ -58,37 +60,40 @@ def copy_groups(records: DataFrame, id_column: str = "id", value: str = "value",
 
     Fingerprints and ids alone are grouped first, hashed and combined before the exchange; texts are compared only in
     groups of more than one record, each against the kept one, so a group of a third of all rows is a third of the
-    comparisons and adaptive execution splits its join. Records that share a fingerprint but not the fields are grouped
-    by their fields instead.
+    comparisons and adaptive execution splits its join. Records that share a fingerprint but not the fields are hashed
+    anew, by other hashes, and grouped again until none is left.
     """
     labels = [f"n{i}" for i in range(len(names))]
     # one projection per step, so that no expression is worked out twice
-    bare = records.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("copy_id"), F.col(value).isNull().alias("none"), normal_fields(F.col(value)).alias("fields"), *[normalized(F.col(n)).alias(c) for n, c in zip(names, labels, strict=True)])
+    rest = records.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("copy_id"), F.col(value).isNull().alias("none"), normal_fields(F.col(value)).alias("fields"), *[normalized(F.col(n)).alias(c) for n, c in zip(names, labels, strict=True)])
+    found, turn, left = [], 0, 1
+    while left:
+        pairs, rest, left = _turn(rest, names, labels, bits if turn == 0 else 128, turn)
+        found.append(pairs)
+        turn += 1
+    return reduce(DataFrame.unionByName, found)
+
+
+def _turn(bare: DataFrame, names: tuple[str, ...], labels: list[str], bits: int, turn: int) -> tuple[DataFrame, DataFrame, int]:
+    """(kept_id, copy_id) of the records that equal the kept one of their fingerprint, and the other records, counted."""
     pairs = F.concat(
         F.when(F.col("none"), F.array(F.struct(F.lit("no value").alias("name"), F.lit("").alias("value")))).otherwise(F.transform("fields", lambda x: F.struct(F.lit("value").alias("name"), x.alias("value")))),
         *[F.array(F.struct(F.lit(n).alias("name"), F.col(c).alias("value"))) for n, c in zip(names, labels, strict=True)],
     )
-    hashed = bare.withColumn("hashes", pair_hashes(pairs)).withColumn("f", fingerprint(F.col("hashes"), bits))
+    hashed = bare.withColumn("hashes", pair_hashes(pairs, turn)).withColumn("f", fingerprint(F.col("hashes"), bits))
     keyed = written(hashed.select("copy_id", "none", "fields", *labels, "f.*"), "copies")
     key = ["a", "b", "c", "d"]
     groups = written(keyed.groupBy(*key).agg(F.min("copy_id").alias("kept_id"), F.max("copy_id").alias("last_id")), "groups")
     members = written(keyed.join(groups.where("kept_id < last_id").drop("last_id"), key), "members")
     record = F.struct("none", "fields", *labels)
     kept = members.where("copy_id = kept_id").groupBy(*key).agg(F.min_by(record, F.xxhash64("none", "fields", *labels)).alias("kept"))
-    met = members.join(kept, key)
-    plain = F.col("none") == F.col("kept.none")
+    equal = F.col("none") == F.col("kept.none")
     for c in labels:
-        plain &= F.col(c).eqNullSafe(F.col(f"kept.{c}"))
+        equal &= F.col(c).eqNullSafe(F.col(f"kept.{c}"))
     mine, theirs = F.coalesce("fields", F.array().cast("array<string>")), F.coalesce("kept.fields", F.array().cast("array<string>"))
-    plain &= (F.size(mine) == F.size(theirs)) & (F.size(F.array_except(mine, theirs)) == 0) & (F.size(F.array_except(theirs, mine)) == 0)
-    repeated = F.size(F.array_distinct(mine)) < F.size(mine)
-    met = met.select("copy_id", "kept_id", "none", "fields", *labels, plain.alias("plain"), repeated.alias("repeated"), mine.alias("mine"), theirs.alias("theirs"))
-    # where a field repeats, equal sets of fields are not enough: their counts must agree too
-    counted = met.where("plain and repeated").withColumn("same", _same_counts("mine", "theirs"))
-    judged = met.where("not (plain and repeated)").withColumn("same", F.col("plain")).unionByName(counted)
-    collided = judged.where("not same").withColumn("sorted", F.array_sort("fields")).select("copy_id", "none", "sorted", *labels)
-    exact = ["none", "sorted", *labels]
-    first = collided.groupBy(*exact).agg(F.min("copy_id").alias("kept_id"))
-    same_texts = collided.join(first, [collided[c].eqNullSafe(first[c]) for c in exact]).select("kept_id", "copy_id")
+    seen = Observation()
+    met = members.join(kept, key).withColumn("same", equal & same_fields(mine, theirs)).select("kept_id", "copy_id", "same", F.when(~F.col("same"), record).alias("other"))
+    judged = written(met.observe(seen, F.count_if(~F.col("same")).alias("n")), "judged")
     alone = groups.where("kept_id = last_id").select("kept_id", F.col("kept_id").alias("copy_id"))
-    return judged.where("same").select("kept_id", "copy_id").distinct().unionByName(alone).unionByName(same_texts.distinct())
+    good = judged.where("same").select("kept_id", "copy_id").distinct().unionByName(alone)
+    return good, judged.where("not same").select("copy_id", "other.*"), seen.get["n"]
