@@ -101,6 +101,7 @@ def test_one_form_of_each_kind_of_character(spark):
         "ｆｕｌｌ１": "full1", "ﬁne ﬂy": "fine fly", "é": "é", "ра́т": "páт", "no break x y　z": "no break x y z",
         "in​vi­si﻿b⁠l‍e‎‌": "invisible", "Ѕрrіnɡ": "Spring", "ΜΑΝ": "MAN", "օk": "ok", "x²": "x²", "a  b\tc\n": "a  b\tc\n", "I l 1 O 0": "I l 1 O 0", "": "",
         "ё": "ë", "e​́": "é", "ſ": "ſ", "½": "½", "\U0001d400": "A", "a\x00b": "a\x00b", "'": "'", "Ĳﬃ": "IJffi", "русский": "pyccкий",
+        "αν": "av", "Ꭺꓮ": "AA", "ıѵ": "iv", "ά": "á", "ⲟ": "o", "Ɩ": "I", "β": "β",
     }
     df = spark.createDataFrame([(i, k) for i, k in enumerate([*cases, None, "ｘ" * 50_000])], "id int, value string").withColumn("ID2", F.lit(1)).withColumn("one_form", F.lit("clash")).withColumn("t", F.lit("t"))
     got = {r["value"]: r["one_form"] for r in lookalikes.one_form(df, "value").collect()}
@@ -108,6 +109,16 @@ def test_one_form_of_each_kind_of_character(spark):
     assert got[None] is None and got["ｘ" * 50_000] == "x" * 50_000
 
 
+def test_letters_of_the_public_table(spark):
+    version, like = lookalikes.confusables(spark)
+    listed = {p[0] for p in lookalikes.OTHER_SCRIPTS.split()}
+    others = sorted(set(like) - listed)
+    assert version.startswith("Unicode") and len(others) > 400 and len(listed & set(like)) > 50
+    got = {r["value"]: r["one_form"] for r in lookalikes.one_form(spark.createDataFrame([(c + "x",) for c in others], "value string"), "value").collect()}
+    missed = [c for c in others if got[c + "x"] not in (like[c] + "x", unicodedata.normalize("NFKC", c) + "x")]
+    assert not missed  # recall on letters outside the list is 1
+
+
 def test_forms_are_stable(spark):
     alphabet = "aeó̈́аеоіѕｆｏﬁﬂ​­   ΑΒοIl10é"
     r = random.Random(3)
