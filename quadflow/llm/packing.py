@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Part of a window that may stay empty when it is closed before the last turn, and by how much it grows per turn.
+SLACK, GROWTH = 0.01, 1.3
+#: Shards that a task packs, one after the other, and tasks at most.
+SHARDS_A_TASK, TASKS = 4, 50_000
 #: Items per shard, on average: bounds a task's memory and time; a shard wastes less than one container.
 SHARD = 2048
 
@@ -50,72 +54,26 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return window[:n], s
 
 
-def relieved(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int, swaps: int = 16) -> np.ndarray | None:
-    """The windows with the excess of each one above capacity swapped or moved away.
-
-    An item of such a window changes places with a smaller one, or with nothing, of a window that has room for the
-    difference; the smallest difference that covers the excess is taken, else the largest there is, swaps times at most.
-    None if a window stays above capacity; then the number of windows has to rise.
-    """
-    sums = np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
-    window = window.copy()
-    other, n = np.concatenate([sizes, np.zeros(k, np.int64)]), len(sizes)  # the last k stand for an empty place in each window
-    home = np.concatenate([window, np.arange(k)])
-    for w in np.argsort(-sums, kind="stable").tolist():
-        for _ in range(swaps):
-            excess = int(sums[w]) - capacity
-            if excess <= 0:
-                break
-            room = (capacity - sums)[home]
-            mine = np.flatnonzero(home[:n] == w)
-            gap = sizes[mine][:, None] - other[None, :]
-            fits = (gap > 0) & (gap <= room[None, :]) & (home != w)[None, :]
-            enough = np.where(fits & (gap >= excess), gap, np.iinfo(np.int64).max)
-            at = int(enough.argmin())
-            if enough.flat[at] == np.iinfo(np.int64).max:
-                some = np.where(fits, gap, 0)
-                at = int(some.argmax())
-                if some.flat[at] <= 0:
-                    return None
-            i, j = int(mine[at // len(other)]), at % len(other)
-            u, d = int(home[j]), int(gap.flat[at])
-            home[i] = u
-            if j < n:
-                home[j] = w
-            sums[w] -= d
-            sums[u] += d
-        if sums[w] > capacity:
-            return None
-    return home[:n]
-
-
-def pack_shard(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+def pack_shard(sizes: np.ndarray, capacity: int, slack: float = SLACK, growth: float = GROWTH) -> tuple[np.ndarray, int]:
     """(window of each item, number of windows); no item may exceed the capacity.
 
-    The number of windows starts at what the total needs and rises while differencing leaves a window above capacity
-    that cannot be relieved, in growing steps, the last of which is then halved down to the smallest number found to do.
+    The number of windows starts at what the total needs. Where differencing leaves windows above capacity, those within
+    it and full but for slack are closed, and the items of all others are differenced again over as many windows as
+    their total needs, which is more than they had; if none could be closed, one more. slack grows from turn to turn, so
+    that every window is closed in the end, at the latest with an item each.
     """
-    if not len(sizes):
-        return np.zeros(0, np.int64), 0
-    total, n = int(sizes.sum()), len(sizes)
-    lower = max(1, -(-total // capacity), int((sizes * 2 > capacity).sum()))
-
-    def attempt(k: int) -> np.ndarray | None:
-        window, sums = differencing(sizes, k)
-        return window if sums[0] <= capacity else relieved(sizes, window, k, capacity)
-
-    bad, k, step, best = lower - 1, min(lower, n), max(1, lower // 64), None
-    while (best := attempt(k)) is None:
-        bad, k, step = k, min(n, k + step), step * 2
-    good = k
-    while good - bad > 1:
-        k = (good + bad) // 2
-        found = attempt(k)
-        if found is None:
-            bad = k
-        else:
-            best, good = found, k
-    return best, good
+    window, used, left, more = np.full(len(sizes), -1, np.int64), 0, np.arange(len(sizes)), 0
+    while len(left):
+        x = sizes[left]
+        k = min(len(x), max(1, -(-int(x.sum()) // capacity), int((x * 2 > capacity).sum())) + more)
+        at, _ = differencing(x, k)
+        sums = np.bincount(at, weights=x, minlength=k)
+        closed = sums <= capacity if (sums <= capacity).all() else (sums <= capacity) & (sums >= capacity * (1 - slack))
+        number = np.full(k, -1, np.int64)
+        number[closed] = np.arange(used, used + int(closed.sum()))
+        window[left] = number[at]
+        used, left, more, slack = used + int(closed.sum()), left[~closed[at]], more + (not closed.any()), slack * growth
+    return window, used
 
 
 def pack(items: DataFrame, limits: list[tuple[str, int]], shard: int = SHARD) -> DataFrame:
@@ -147,7 +105,9 @@ def pack(items: DataFrame, limits: list[tuple[str, int]], shard: int = SHARD) ->
         window, _ = pack_shard(pdf["size"].to_numpy(), int(pdf["capacity"].iloc[0]))
         return pd.DataFrame({"profile": key[0], "window": [f"{key[1]}-{w}" for w in window], "item_id": pdf["item_id"], "start": pdf["start"], "size": pdf["size"]})
 
-    packed = rest.groupBy("profile", "shard").applyInPandas(one, full.schema)
+    # as many tasks as the shards need: by bytes alone, thousands of shards would fit one
+    tasks = max(1, min(TASKS, -(-shards * len(limits) // SHARDS_A_TASK)))
+    packed = rest.repartition(tasks, "profile", "shard").groupBy("profile", "shard").applyInPandas(one, full.schema)
     return packed.unionByName(full)
 
 
