@@ -239,6 +239,20 @@ def test_mixture_follows_the_weights_over_time(spark):
         assert abs(half[s] - x["demand"] * (0.5 - x["a"] / 4)) < 500
 
 
+def test_mixture_follows_a_schedule(spark):
+    docs, targets = _docs(spark), spark.createDataFrame(TARGETS[:3], TARGET)
+    # a comes in the first half alone, b rises from nothing, c has two knots in one moment and a null; d is in no profile
+    knots = [("p", "a", 0.0, 1.0), ("p", "a", 0.5, 1.0), ("p", "a", 0.5000001, 0.0), ("p", "b", 0.0, 0.0), ("p", "b", 1.0, 2.0), ("p", "c", 0.5, 3.0), ("p", "c", 0.5, 5.0), ("p", "d", 0.1, 1.0), ("p", "b", 2.0, 9.0)]
+    mixed = mixing.mixture(docs, targets, schedule=spark.createDataFrame(knots, "profile string, source string, t double, weight double"))
+    plan = {x["source"]: x["demand"] for x in mixing.demands(docs.where("source is not null and n_tokens > 0"), targets).collect()}
+    part = lambda t: {x["source"]: x["n"] for x in mixed.where(f"position < {t}").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    for t, want in ((0.25, (0.5, 0.0625, 0.25)), (0.5, (1.0, 0.25, 0.5)), (0.75, (1.0, 0.5625, 0.75)), (1.01, (1.0, 1.0, 1.0))):
+        got = part(t)
+        for s, w in zip("abc", want, strict=True):
+            assert abs(got.get(s, 0) - w * plan[s]) < 500, (t, s)
+    assert mixing.mixture(docs, targets, schedule=spark.createDataFrame([("p", "a", 0.3, None)], "profile string, source string, t double, weight double")).where("position between 0 and 1").count() == mixed.count()
+
+
 def test_running_sizes_are_the_same_in_any_buckets(spark):
     docs = _docs(spark).where("source is not null and n_tokens > 0 and doc_id is not null and doc_id <> 1").select("doc_id", "source", "n_tokens")
     for bucket in (50, 10**6):
