@@ -63,18 +63,20 @@ class RuleEngine:
         made = new.select("s", "p", "o", F.lit("").alias("g")).select("*", *T.c_parts(F.col("o")))
         return quads.select(*made.columns).unionByName(made)
 
-    def infer(self, quads: DataFrame) -> DataFrame:
+    def infer(self, quads: DataFrame, all_ways: bool = False) -> DataFrame:
         """(s, p, o, rule, premises): the statements given (rule -1), the axioms (-2 kept as given) and all that follow.
 
-        Every statement comes once, with the first rule found for it and the keys of its premises, "s p o". A round joins
-        what the last one found with all that is known, one body pattern at a time, and drops what is known already.
+        Every statement comes once, with the first rule found for it and the keys of its premises, "s p o"; all_ways gives
+        it once for each rule and premises that it follows from. A round joins what the last one found with all that is
+        known, one body pattern at a time, and drops what is known already; a way is found in the round after its last
+        premise.
         """
         spark = quads.sparkSession
         base = quads.where("g = ''").select("s", "p", "o").distinct()
         if self.axioms:
             base = base.unionByName(spark.createDataFrame([tuple(a[:3]) for a in self.axioms], "s string, p string, o string")).distinct()
         known = [written(base.select("s", "p", "o", F.lit(-1).alias("rule"), F.array().cast("array<string>").alias("premises")), "known")]
-        delta = known[0]
+        delta, given, ways = known[0], known[0], []
         for turn in itertools.count():
             if self.max_rounds is not None and turn >= self.max_rounds:
                 raise RuntimeError(f"rules still give new statements after {self.max_rounds} rounds")
@@ -90,13 +92,19 @@ class RuleEngine:
                         break
             if not found:
                 break
-            new = reduce(DataFrame.unionByName, found).dropDuplicates(["s", "p", "o"]).join(everything.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+            made = reduce(DataFrame.unionByName, found)
+            if all_ways:
+                made = written(made.distinct(), "ways")
+                ways.append(made.select("s", "p", "o", "rule", "premises"))
+            new = made.dropDuplicates(["s", "p", "o"]).join(everything.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
             delta, count = written_counted(new.select("s", "p", "o", "rule", "premises"), "delta")
             if not count:
                 break
             known.append(delta)
             if len(known) > COMPACT:
                 known = [written(reduce(DataFrame.unionByName, known), "known")]
+        if all_ways:
+            return reduce(DataFrame.unionByName, [given, *ways]).distinct()
         return reduce(DataFrame.unionByName, known)
 
     def _fire(self, i: int, r: Rule, known: DataFrame, delta: DataFrame, at: int | None) -> DataFrame:
@@ -167,10 +175,11 @@ class RuleEngine:
             todo.remove(c)
         return out
 
-    def prove(self, quads: DataFrame, goal: Triple) -> DataFrame:
+    def prove(self, quads: DataFrame, goal: Triple, all_proofs: bool = False) -> DataFrame:
         """(goal, depth, s, p, o, rule, premises): for each statement that matches the goal, the steps of a proof; rule -1
-        marks what was given. No rows: no proof."""
-        facts = written(self.infer(quads).withColumn("key", F.concat_ws(" ", "s", "p", "o")), "facts")
+        marks what was given. all_proofs gives every rule and premises by which a step follows, so that each choice of
+        one of them per statement is a proof. No rows: no proof."""
+        facts = written(self.infer(quads, all_proofs).withColumn("key", F.concat_ws(" ", "s", "p", "o")), "facts")
         hits = facts
         for c, x in (("s", goal.s), ("p", goal.p), ("o", goal.o)):
             if isinstance(x, str):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -15,7 +16,10 @@ from quadflow.functions import terms as T
 from quadflow.sources import n3, rdfxml
 
 #: One line of N-Triples or N-Quads: subject, predicate, object, graph.
-_LINE = r"^[ \t]*(<[^<>\s]*>|_:\S+)[ \t]*(<[^<>\s]*>)[ \t]*(<[^<>\s]*>|_:[^\s.]+(?:\.+[^\s.]+)*|\"(?:[^\"\\]|\\.)*\"(?:@[A-Za-z0-9-]+|\^\^<[^<>\s]*>)?)[ \t]*(<[^<>\s]*>|_:[^\s.]+)?[ \t]*\.[ \t]*(?:#.*)?\r?$"
+#: A statement whose literal has no quote inside, as of _guarded(): a loop over one class of characters takes no stack,
+#: however long the text.
+_LINE = r"^[ \t]*(<[^<>\s]*>|_:\S+)[ \t]*(<[^<>\s]*>)[ \t]*(<[^<>\s]*>|_:[^\s.]+(?:\.+[^\s.]+)*|\"[^\"]*\"(?:@[A-Za-z0-9-]+|\^\^<[^<>\s]*>)?)[ \t]*(<[^<>\s]*>|_:[^\s.]+)?[ \t]*\.[ \t]*(?:#.*)?\r?$"
+_MARKS = ("\x01\ue002", "\x01\ue003")
 FORMATS = {
     "nt": "nt", "ntriples": "nt", "nq": "nt", "nquads": "nt", "n3": "n3", "turtle": "n3", "ttl": "n3", "xml": "xml", "rdf": "xml", "rdfxml": "xml", "owl": "xml",
     "text/plain": "nt", "application/n-triples": "nt", "application/n-quads": "nt", "text/n3": "n3", "text/rdf+n3": "n3", "application/n3": "n3", "text/turtle": "n3", "application/turtle": "n3", "application/x-turtle": "n3",
@@ -39,6 +43,15 @@ def format_of(path: str, given: str | None = None) -> str:
     return FORMATS[name]
 
 
+def sniffed(spark: SparkSession, path: str) -> str:
+    """nt, n3 or xml by the first line that is neither empty nor a comment."""
+    first = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$")).select(F.regexp_replace("value", "^\ufeff", "").alias("value")).first()
+    line = "" if first is None else first["value"].lstrip()
+    if line.startswith(("<?xml", "<!DOCTYPE", "<!--", "<rdf:RDF")):
+        return "xml"
+    return "nt" if re.match(_LINE, line.replace("\\\\", _MARKS[0]).replace('\\"', _MARKS[1])) else "n3"
+
+
 def _decoder(n: int, charset: str):  # noqa: ANN202
     """For the parts of a text between escapes: every one but the first begins with n hexadecimal digits."""
     return lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.decode(F.unhex(x.substr(F.lit(1), F.lit(n))), charset), x.substr(F.lit(n + 1), F.length(x))))
@@ -63,19 +76,29 @@ def _canonical(object_: Column) -> Column:
     return F.when(object_.startswith('"') & object_.contains("\\"), F.concat(F.lit('"'), T.c_escape(T.c_unescape(_unicode(text))), F.lit('"'), tail)).otherwise(object_)
 
 
+def _guarded(line: Column) -> Column:
+    """A line with marks for escaped backslashes and quotes."""
+    return F.replace(F.replace(line, F.lit("\\\\"), F.lit(_MARKS[0])), F.lit('\\"'), F.lit(_MARKS[1]))
+
+
+def _unguarded(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_MARKS[1]), F.lit('\\"')), F.lit(_MARKS[0]), F.lit("\\\\"))
+
+
 def lines_as_quads(lines: DataFrame, graph: str | None = None, scope: str | None = None) -> Document:
     """N-Triples or N-Quads from a DataFrame of lines (value), every line by itself, without Python.
 
     scope goes before blank nodes' labels; without one they differ between files. Empty lines and comments are skipped.
     """
     file = F.input_file_name()
-    split = F.split(F.regexp_replace("value", _LINE, "$1\x1f$2\x1f$3\x1f$4"), "\x1f")
-    rows = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$")).select(F.col("value"), F.when(F.col("value").rlike(_LINE), split).alias("x"), file.alias("file"))
+    guarded = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$")).select("value", _guarded(F.col("value")).alias("line"), file.alias("file"))
+    split = F.split(F.regexp_replace("line", _LINE, "$1\x1f$2\x1f$3\x1f$4"), "\x1f")
+    rows = guarded.select("value", F.when(F.col("line").rlike(_LINE), split).alias("x"), "file")
     prefix = F.substring(F.sha1("file"), 1, 8) if scope is None else F.lit(scope)
     node = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("_:"), prefix, c.substr(F.lit(3), F.length(c)))).when(c.contains("\\"), _unicode(c)).otherwise(c)
     x = F.col("x")
     g = F.lit(graph) if graph else node(F.coalesce(x[3], F.lit("")))
-    good = rows.where("x is not null").select(node(x[0]).alias("s"), node(x[1]).alias("p"), F.when(x[2].startswith('"'), _canonical(x[2])).otherwise(node(x[2])).alias("o"), g.alias("g"), "file")
+    good = rows.where("x is not null").select(node(x[0]).alias("s"), node(x[1]).alias("p"), F.when(x[2].startswith('"'), _canonical(_unguarded(x[2]))).otherwise(node(x[2])).alias("o"), g.alias("g"), "file")
     quads = good.select("s", "p", "o", "g", *T.c_parts(F.col("o")))
     bad = rows.where("x is null").select("file", F.lit(None).cast("bigint").alias("line"), F.lit("the line is no statement").alias("error"), F.col("value").alias("text"))
     return Document(quads, bad.unionByName(invalid_literals(quads)))
@@ -101,12 +124,15 @@ def read_rdf(spark: SparkSession, paths: str | list[str], format: str | None = N
     """Quads of documents; several paths, folders and patterns are read together.
 
     N-Triples and N-Quads are split at lines, whatever a file's size; Turtle, N3 and RDF/XML take one task a file. graph
-    puts all statements into one graph; base resolves relative IRIs, else the file's own address does.
+    puts all statements into one graph; base resolves relative IRIs, else the file's own address does. Without a format,
+    one that neither the extension tells is told by the first line, as it always is with "auto". What a parser left out
+    with a warning is among the rejects.
     """
     paths = [paths] if isinstance(paths, str) else paths
     kinds: dict[str, list[str]] = {}
     for p in paths:
-        kinds.setdefault(format_of(p, format), []).append(p)
+        known = format is not None or p.rstrip("/").removesuffix(".gz").rpartition(".")[2].lower() in FORMATS
+        kinds.setdefault(format_of(p, format) if known and format != "auto" else sniffed(spark, p), []).append(p)
     found = []
     for kind, some in kinds.items():
         if kind == "nt":
@@ -125,8 +151,13 @@ def _whole(spark: SparkSession, paths: list[str], kind: str, base: str | None, g
             for file, text in zip(pdf["file"], pdf["value"], strict=True):
                 scope = hashlib.sha1(file.encode()).hexdigest()[:8]
                 try:
-                    rows = (n3 if kind == "n3" else rdfxml).parse(text, base or file, graph or "", scope)
-                    yield pd.DataFrame([(*r, file, None) for r in rows], columns=["s", "p", "o", "g", "file", "error"], dtype=object)
+                    notes: list[str] = []
+                    if kind == "n3":
+                        parser = n3.Parser(text, base or file, graph or "", scope)
+                        rows, notes = parser.parse(), parser.warnings
+                    else:
+                        rows = rdfxml.parse(text, base or file, graph or "", scope)
+                    yield pd.DataFrame([(*r, file, None) for r in rows] + [(None, None, None, None, file, w) for w in notes], columns=["s", "p", "o", "g", "file", "error"], dtype=object)
                 except n3.RdfError as e:
                     yield pd.DataFrame([(None, None, None, None, file, str(e))], columns=["s", "p", "o", "g", "file", "error"], dtype=object)
 

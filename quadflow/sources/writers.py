@@ -184,7 +184,7 @@ class XmlOptions:
 def rdf_xml(statements: Iterable[Statement], namespaces: Namespaces | None = None, options: XmlOptions | None = None) -> str:
     """An RDF/XML document. It cannot hold graphs: a statement with one is an error, as is a predicate without a name."""
     o = options or XmlOptions()
-    ns = (namespaces or Namespaces()).copy()
+    ns = Namespaces({p: x for p, x in (namespaces or Namespaces()).by_prefix.items() if p})  # a name without prefix is no name here
     ns.add("rdf", T.RDF)
     by: dict[str, list[Statement]] = defaultdict(list)
     pointed: dict[str, int] = defaultdict(int)
