@@ -21,15 +21,17 @@ def key_rows(rows: DataFrame, fields: list[str], order: str, tie: str) -> DataFr
 
 
 def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The state of each run of equal keys of one sorted partition; a run over several batches is carried along."""
+    """The state of each run of equal keys of one sorted partition; the last run of a batch is carried into the next."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     carry: list | None = None  # field, key, n, first, last, gap
 
-    def batch(rows: list[list]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["part", "field_name", "key_id", "n", "first_us", "last_us", "max_gap_us"])
+    def batch(cols: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), part), pa.int32()), *cols], names=["part", "field_name", "key_id", "n", "first_us", "last_us", "max_gap_us"])
+
+    def one(run: list) -> pa.RecordBatch:
+        return batch([pa.array([run[0]], pa.string()), *[pa.array([x], pa.int64()) for x in run[1:]]])
 
     for b in batches:
         if not b.num_rows:
@@ -38,27 +40,36 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, keys, us = names.indices.fill_null(-1).to_numpy(zero_copy_only=False), b.column(1), b.column(2)
         known, k = ~np.asarray(keys.is_null()), keys.fill_null(0).to_numpy(zero_copy_only=False)
         timed, t = ~np.asarray(us.is_null()), us.fill_null(0).to_numpy(zero_copy_only=False)
-        new = np.flatnonzero((codes[1:] != codes[:-1]) | (k[1:] != k[:-1]) | (known[1:] != known[:-1])) + 1
-        starts = np.concatenate([[0], new])
-        ends = np.concatenate([new, [b.num_rows]])
-        gaps = np.where(timed[1:] & timed[:-1], t[1:] - t[:-1], -1)
-        out = []
-        for a, z in zip(starts.tolist(), ends.tolist(), strict=True):
-            dated = np.flatnonzero(timed[a:z])
-            first, last = (int(t[a + dated[0]]), int(t[a + dated[-1]])) if len(dated) else (None, None)
-            gap = int(gaps[a : z - 1].max()) if z - a > 1 else -1
-            run = [names.dictionary[int(codes[a])].as_py() if codes[a] >= 0 else None, int(k[a]) if known[a] else None, z - a, first, last, gap if gap >= 0 else None]
-            if carry and carry[:2] == run[:2]:
-                between = run[3] - carry[4] if run[3] is not None and carry[4] is not None else None
-                carry = [*run[:2], carry[2] + run[2], carry[3] if carry[3] is not None else run[3], run[4] if run[4] is not None else carry[4], max((g for g in (carry[5], run[5], between) if g is not None), default=None)]
-            else:
-                if carry:
-                    out.append(carry)
-                carry = run
-        if out:
-            yield batch(out)
+        starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (k[1:] != k[:-1]) | (known[1:] != known[:-1])])
+        gaps = np.r_[-1, np.where(timed[1:] & timed[:-1], t[1:] - t[:-1], -1)]
+        gaps[starts] = -1
+        n, dated = np.diff(np.r_[starts, b.num_rows]), np.add.reduceat(timed.astype(np.int64), starts) > 0
+        first = np.minimum.reduceat(np.where(timed, t, np.iinfo(np.int64).max), starts)
+        last = np.maximum.reduceat(np.where(timed, t, np.iinfo(np.int64).min), starts)
+        gap = np.maximum.reduceat(gaps, starts)
+
+        def run(i: int) -> list:
+            at = starts[i]
+            times = (int(first[i]), int(last[i])) if dated[i] else (None, None)  # noqa: B023
+            return [names.dictionary[int(codes[at])].as_py() if codes[at] >= 0 else None, int(k[at]) if known[at] else None, int(n[i]), *times, int(gap[i]) if gap[i] >= 0 else None]  # noqa: B023
+
+        head = run(0)
+        if carry and carry[:2] == head[:2]:
+            between = head[3] - carry[4] if head[3] is not None and carry[4] is not None else None
+            head = [*head[:2], carry[2] + head[2], carry[3] if carry[3] is not None else head[3], head[4] if head[4] is not None else carry[4], max((g for g in (carry[5], head[5], between) if g is not None), default=None)]
+        elif carry:
+            yield one(carry)
+        if len(starts) == 1:
+            carry = head
+            continue
+        yield one(head)
+        if len(starts) > 2:
+            at, mid = starts[1:-1], slice(1, -1)
+            fields = names.dictionary.take(pa.array(np.where(codes[at] >= 0, codes[at], 0), mask=codes[at] < 0))
+            yield batch([fields.cast(pa.string()), pa.array(k[at], pa.int64(), mask=~known[at]), pa.array(n[mid], pa.int64()), pa.array(first[mid], pa.int64(), mask=~dated[mid]), pa.array(last[mid], pa.int64(), mask=~dated[mid]), pa.array(gap[mid], pa.int64(), mask=gap[mid] < 0)])
+        carry = run(len(starts) - 1)
     if carry:
-        yield batch([carry])
+        yield one(carry)
 
 
 def key_partials(keyed: DataFrame, n: int | None = None) -> DataFrame:

@@ -310,7 +310,59 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["prove", f"{tmp_path}/r.n3", "<u:c> <u:p> ?x."], spark) == 1
 
 
-def test_entry_without_the_llm_part(spark):
+def test_entry_without_the_llm_part(tmp_path):
+    """A copy of the package without the subpackage still imports and registers what is left."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/quadflow", tmp_path / "quadflow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and 'p1_found' in q and 'p3_found' not in q; print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert out.returncode == 0 and int(out.stdout) > 100, out.stderr
+
+
+def test_entry_runs(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).count() > 0
+
+
+def test_sniffing_warnings_and_long_literals(spark, tmp_path):
+    (tmp_path / "a.data").write_text("# note\n@prefix : <u:>.\n:a :p 1 .\n", encoding="utf-8")
+    (tmp_path / "b.data").write_text('<u:a> <u:p> "' + 'x\\n\\"' * 60_000 + '" .\n<u:a> <u:p> "\\\\" . # "c" .\n', encoding="utf-8")
+    (tmp_path / "c.data").write_text("<?xml version='1.0'?><rdf:RDF xmlns:rdf='" + T.RDF + "' xmlns='u:'><rdf:Description rdf:about='u:a'><p>1</p></rdf:Description></rdf:RDF>", encoding="utf-8")
+    got = quads(read_rdf(spark, [str(tmp_path / f"{n}.data") for n in "abc"]).quads)
+    assert len(got) == 4 and max(len(r[2]) for r in got) > 200_000 and ("<u:a>", "<u:p>", '"\\\\"', "") in got
+    (tmp_path / "d.n3").write_text('@prefix : <u:>. "text" :p :o . :a :p :b .', encoding="utf-8")
+    doc = read_rdf(spark, str(tmp_path / "d.n3"))
+    assert len(quads(doc.quads)) == 1 and "literal subject" in doc.rejects.first()["error"]
+
+
+def test_every_proof(spark):
+    from quadflow.plans.algebra import Triple, Var
+    from quadflow.operators.store import quads_from
+    from quadflow.reason.rules import Rule, RuleEngine
+
+    v = Var
+    rule = Rule([Triple(v("a"), "<u:p>", v("b")), Triple(v("b"), "<u:p>", v("c"))], [Triple(v("a"), "<u:p>", v("c"))])
+    facts = quads_from(spark, [("<u:a>", "<u:p>", "<u:b>"), ("<u:b>", "<u:p>", "<u:d>"), ("<u:a>", "<u:p>", "<u:c>"), ("<u:c>", "<u:p>", "<u:d>"), ("<u:a>", "<u:p>", "<u:d>")])
+    goal = Triple("<u:a>", "<u:p>", "<u:d>")
+    one = RuleEngine([rule]).prove(facts, goal).where("depth = 0").collect()
+    every = RuleEngine([rule]).prove(facts, goal, all_proofs=True).where("depth = 0").collect()
+    assert [r["rule"] for r in one] == [-1] and sorted(r["rule"] for r in every) == [-1, 0, 0]
+
+
+def test_paths_over_the_graph(spark):
+    from quadflow.operators.navigate import navigate
+    from quadflow.operators.store import QuadStore
+
+    s = QuadStore.from_statements(spark, [("<u:a>", "<u:p>", "<u:b>"), ("<u:a>", "<u:p>", "<u:c>"), ("<u:b>", "<u:q>", '"1"'), ("<u:c>", "<u:q>", '"2"'), ("<u:z>", "<u:p>", "<u:c>")])
+    start = spark.createDataFrame([("<u:a>",), ("<u:a>",), (None,)], "t string")
+    walk = lambda path: sorted(r["node"] for r in navigate(s, start, path, {"u": "u:"}).collect())
+    assert walk("u:p/u:q") == ['"1"', '"2"'] and walk("u:p[2]/<u:q>") == ['"2"'] and walk("u:p/!u:p") == ["<u:a>", "<u:z>"] and walk("*/*") == ['"1"', '"2"'] and walk("u:q") == [] and walk("u:p[9]") == []
+    with pytest.raises(ValueError):
+        navigate(s, start, "u:p//u:q")
