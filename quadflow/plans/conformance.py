@@ -23,7 +23,7 @@ from quadflow.operators.store import QuadStore, quads_of
 from quadflow.plans.algebra import Triple, Var
 from quadflow.plans.expr import register_python
 from quadflow.plans.planner import Planner
-from quadflow.plans.queries import PREFIX, _rule_math
+from quadflow.plans.queries import _TERMS, PREFIX, _rule_math
 from quadflow.plans.sparql import parse
 from quadflow.reason import mathrel
 from quadflow.reason.rdfs import RDFS, SUB_CLASS
@@ -33,7 +33,7 @@ from quadflow.sources import results as R
 from quadflow.sources.custom import python_sink, python_source
 from quadflow.sources.mapping import EX, mapped, mapped_store, rdf_store
 from quadflow.sources.protocol import SparqlServer, endpoint_store
-from quadflow.sources.readers import lines_as_quads, read_rdf
+from quadflow.sources.readers import lines_as_quads, read_jdbc, read_rdf
 from quadflow.sources.spec import open_store, save_store
 from quadflow.sources.writers import graphviz, write_rdf
 from quadflow.streaming.ingest import stream_into, stream_quads
@@ -178,6 +178,22 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
 
 _add("stream_ntriples", _streamed, _STAR + "select * from q")
 
+
+
+def _jdbc(spark: SparkSession, d: str) -> DataFrame:
+    """The store's tables written to a relational database and read from there."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex}"
+    for name in ("statements", "entities", "literals"):
+        rows = table(spark, d, f"rdf_{name}")
+        rows = rows.select("subject", "predicate", "objecttype", "object", "meta") if name == "statements" else rows.drop("hash", "removed_at")
+        rows.coalesce(4).write.format("jdbc").options(url=url + ";create=true", dbtable=f"rdf_{name}", driver=DERBY).save()
+    return read_jdbc(spark, url, "rdf", driver=DERBY).select(*SPOG)
+
+
+#: The relational database that Spark brings along.
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+_add("io_jdbc_store", _jdbc, _TERMS.replace("union all select distinct id, '_:b' || id from rdf_bnodes", "union all select x, '_:b' || x from (select subject as x from rdf_statements union select predicate from rdf_statements union select object from rdf_statements where objecttype = 0 union select meta from rdf_statements where meta <> 1) where x not in (select id from rdf_entities)").replace("join named p on", "join node p on") + "select s, p, o, g from quad")
+
 # results
 _REGIONS = "SELECT ?r ?name ?none { ?r :r_name ?name } ORDER BY ?name"
 
