@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quadflow.llm.copies import copy_groups, normalized
 from quadflow.llm.frequency import marked, term_frequencies, value_terms
 from quadflow.llm.lookalikes import alike_pairs, one_form
-from quadflow.llm.mixing import mixture, reached
+from quadflow.llm.mixing import demands, mixture, reached
 from quadflow.llm.packing import fill, pack
 from quadflow.llm.subjects import composition, fitted, page_areas
 from quadflow.llm.tokens import with_tokens
@@ -75,6 +75,26 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(_packed(spark, d), _limits(spark, d))
 
 
+def p8_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Per profile what must hold exactly: no window above the capacity, no page split that fits, no token lost or doubled."""
+    pages, limits = _pages(spark, d), table(spark, d, "pack_limits")
+    packed = pack(pages.select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("size")), _limits(spark, d)).join(limits, "profile")
+    windows = packed.groupBy("profile", "window", "capacity_tokens").agg(F.sum("size").alias("used"))
+    over = windows.groupBy("profile").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("over_capacity"))
+    whole = packed.groupBy("profile", "item_id", "capacity_tokens").agg(F.sum("size").alias("got"), F.count(F.lit(1)).alias("pieces")).join(pages.select(F.col("doc_id").alias("item_id"), "n_tokens"), "item_id")
+    kept = whole.groupBy("profile").agg(F.count_if((F.col("n_tokens") <= F.col("capacity_tokens")) & (F.col("pieces") > 1)).alias("split_though_fitting"), F.count_if(F.col("got") != F.col("n_tokens")).alias("unlike_their_size"), F.count(F.lit(1)).alias("pages"))
+    return over.join(kept, "profile")
+
+
+def p9_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Per profile and source whether it has its demand but for half a page, and no page is used too often."""
+    pages, targets = _pages(spark, d), table(spark, d, "mix_targets")
+    got = reached(mixture(pages, targets), pages, targets)
+    want = demands(pages, targets).select("profile", "source", "demand").join(pages.groupBy("source").agg(F.max("n_tokens").alias("longest")), "source", "left")
+    rows = got.join(want, ["profile", "source"])
+    return rows.select("profile", "source", (F.abs(F.col("n_tokens") - F.col("demand")) <= F.coalesce(F.col("longest"), F.lit(0)) / 2 + 1).alias("on_target"), (F.col("max_use") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixture(_pages(spark, d), table(spark, d, "mix_targets"))
 
@@ -93,7 +113,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return composition(p10_found(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_records, p5_found, p5_forms, p8_windows, p8_fill, p9_mixture, p9_shares, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_records, p5_found, p5_forms, p8_windows, p8_fill, p8_properties, p9_mixture, p9_shares, p9_properties, p10_found, p10_composition)}
 
 _TERMS = """with t as (select 'predicate' as field_name, cast(predicate as varchar) as term, subject as record from rdf_statements where predicate is not null and subject is not null
   union all select 'value', lower(unnest(regexp_extract_all(value, '[A-Za-z]+'))), id from (select distinct id, value from rdf_entities where id is not null)),
@@ -110,5 +130,7 @@ SQL = {
     "p3_terms": _TERMS + "select * from marked",
     "p3_found": _TERMS + "select field_name, term, mark from marked where mark is not null",
     "p4_found": _COPIES + "select distinct kept_id, id as copy_id from g where id <> kept_id",
+    "p8_properties": "select profile, cast(0 as bigint) as over_capacity, cast(0 as bigint) as split_though_fitting, cast(0 as bigint) as unlike_their_size, (select count(*) from documents) as pages from pack_limits",
+    "p9_properties": "select profile, source, true as on_target, true as within_repeats from mix_targets",
     "p4_records": _COPIES + "select kept_id, count(distinct id) as n_copies from g group by 1",
 }

@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -30,13 +31,17 @@ def encoding(vocabulary: str):  # noqa: ANN201
 
 
 def with_tokens(rows: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """rows with n_tokens in place of the text column; a null or empty text has 0 tokens, a column n_tokens is replaced."""
+    """rows with n_tokens in place of the text column; a null or empty text has 0 tokens, a column n_tokens is replaced.
+
+    An executor that does not have the vocabulary's file where the driver has it gets it from the driver."""
+    rows.sparkSession.sparkContext.addFile(vocabulary)
     fields = [f for f in rows.schema.fields if f.name.lower() not in (text.lower(), "n_tokens")]
     kept = [f.name for f in fields]
     schema = StructType([*fields, StructField("n_tokens", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        here = vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))
+        encode = encoding(here).encode_ordinary
         for b in batches:
             counts = pa.array([len(encode(t)) if t else 0 for t in b.column(len(kept)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], counts], names=[*kept, "n_tokens"])
