@@ -19,6 +19,8 @@ from quadflow.runtime import BROADCAST_ROWS, written, written_counted
 SUB_CLASS, SUB_PROPERTY = f"<{T.RDFS}subClassOf>", f"<{T.RDFS}subPropertyOf>"
 DOMAIN, RANGE, RESOURCE = f"<{T.RDFS}domain>", f"<{T.RDFS}range>", f"<{T.RDFS}Resource>"
 
+#: Patterns that are matched one by one; more of them are one scan, joined with their classes or properties.
+SCANS = 8
 #: Pairs of a closure up to which it is worked out on the driver and may be broadcast, some 20 MB.
 PAIRS = 2 * BROADCAST_ROWS
 
@@ -239,5 +241,7 @@ class WidenedStore(QuadStore):
         if len(wide) == 1:
             return super().scan(wide)
         able = [w for w in wide if any(s.may(w) for s in self.sources)]
+        if len(able) > SCANS:
+            return self.schema.joined(triples[0], super().scan)
         out = union_all([super(WidenedStore, self).scan([w]) for w in able or wide[:1]])
         return Bindings(out.df.distinct(), out.forms, out.certain)

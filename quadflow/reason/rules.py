@@ -6,7 +6,7 @@ import itertools
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quadflow.functions import terms as T
@@ -14,10 +14,9 @@ from quadflow.operators.bindings import Bindings, Form, column, join, unit
 from quadflow.operators.store import QuadSource, QuadStore
 from quadflow.plans.algebra import Triple, Var
 from quadflow.reason import mathrel as M
-from quadflow.runtime import written, written_counted
+from quadflow.runtime import scratch, written
 
-#: Rounds after which what is known is written as one table again, so that plans stay small.
-COMPACT = 8
+KNOWN = "s string, p string, o string, rule int, premises array<string>, round int"
 
 
 @dataclass(frozen=True)
@@ -75,19 +74,22 @@ class RuleEngine:
         base = quads.where("g = ''").select("s", "p", "o").distinct()
         if self.axioms:
             base = base.unionByName(spark.createDataFrame([tuple(a[:3]) for a in self.axioms], "s string, p string, o string")).distinct()
-        known = [written(base.select("s", "p", "o", F.lit(-1).alias("rule"), F.array().cast("array<string>").alias("premises")), "known")]
-        delta, given, ways = known[0], known[0], []
+        # a folder a round, so that what is known is one scan and what a round found a part of it
+        at, round_ = scratch(spark, "known"), 0
+        base.select("s", "p", "o", F.lit(-1).alias("rule"), F.array().cast("array<string>").alias("premises")).write.parquet(f"{at}/round=0")
+        ways = []
         for turn in itertools.count():
             if self.max_rounds is not None and turn >= self.max_rounds:
                 raise RuntimeError(f"rules still give new statements after {self.max_rounds} rounds")
-            everything = reduce(DataFrame.unionByName, known)
+            known = spark.read.schema(KNOWN).parquet(at)
+            stores = {"all": known, "new": known.where(F.col("round") == round_), "old": known.where(F.col("round") < round_)}
             found = []
             for i, r in enumerate(self.rules):
                 n = len(r.patterns())
-                for at in range(max(n, 1)):
+                for first in range(max(n, 1)):
                     if turn and not n:
                         continue
-                    found.append(self._fire(i, r, everything, delta, at if turn else None))
+                    found.append(self._fire(i, r, stores, first if turn else None))
                     if not turn:
                         break
             if not found:
@@ -96,23 +98,23 @@ class RuleEngine:
             if all_ways:
                 made = written(made.distinct(), "ways")
                 ways.append(made.select("s", "p", "o", "rule", "premises"))
-            new = made.dropDuplicates(["s", "p", "o"]).join(everything.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
-            delta, count = written_counted(new.select("s", "p", "o", "rule", "premises"), "delta")
-            if not count:
+            new = made.dropDuplicates(["s", "p", "o"]).join(known.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+            round_, seen = round_ + 1, Observation()
+            new.select("s", "p", "o", "rule", "premises").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{at}/round={round_}")
+            if not seen.get["n"]:
                 break
-            known.append(delta)
-            if len(known) > COMPACT:
-                known = [written(reduce(DataFrame.unionByName, known), "known")]
+        known = spark.read.schema(KNOWN).parquet(at)
         if all_ways:
-            return reduce(DataFrame.unionByName, [given, *ways]).distinct()
-        return reduce(DataFrame.unionByName, known)
+            return reduce(DataFrame.unionByName, [known.where("round = 0").drop("round"), *ways]).distinct()
+        return known.drop("round")
 
-    def _fire(self, i: int, r: Rule, known: DataFrame, delta: DataFrame, at: int | None) -> DataFrame:
-        spark = known.sparkSession
+    def _fire(self, i: int, r: Rule, known: dict[str, DataFrame], at: int | None) -> DataFrame:
+        """What a rule gives if pattern at is the first to match something new; at None: whatever it matches."""
+        spark = known["all"].sparkSession
         quads = lambda df: QuadStore(spark, [QuadSource(df.select("s", "p", "o", F.lit("").alias("g")))])
-        stores = {False: quads(known), True: quads(delta)}
+        stores = {k: quads(df) for k, df in known.items()}
         patterns = r.patterns()
-        left = [(stores[k == at].scan([t]), t) for k, t in enumerate(patterns)]
+        left = [(stores["all" if at is None or k > at else "new" if k == at else "old"].scan([t]), t) for k, t in enumerate(patterns)]
         out: Bindings = unit(spark)
         seen: set[str] = set()
         if at is not None:  # the new statements first: they are few
