@@ -68,6 +68,8 @@ def find_msg(quads: DataFrame, node: str) -> DataFrame:
 
 
 Quad = tuple[str, str, str, str]
+#: Begins the labels of blank nodes of what a graph is made lean relative to.
+THEIRS = "_:!"
 
 
 def canonical_labels(statements: list[Quad], rounds: int | None = None) -> dict[str, str]:
@@ -180,16 +182,22 @@ def _unlike(folded: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, kept)
 
 
-def make_lean(quads: DataFrame) -> DataFrame:
+def make_lean(quads: DataFrame, relative_to: DataFrame | None = None) -> DataFrame:
     """The quads without blank-node subgraphs that say nothing the rest does not say.
 
     First each minimal self-contained graph is folded by itself, one per group of a Python task. Then whole ones that
     another one or ground statements cover are dropped: of those alike but for labels one stays, and one with a
     single blank node goes if another node has all of its statements, found by a join on its rarest statement. Larger
-    ones that only map into others not alike are kept.
+    ones that only map into others not alike are kept. relative_to: further quads that count as there already, in blank
+    nodes of their own; what they cover goes too, none of theirs is in the result.
     """
     columns = ["s", "p", "o", "g", "o_kind", "o_val", "o_lang", "o_dt"]
-    q = written(msgs(quads.select(*columns).dropDuplicates(KEYS)), "msgs")
+    mine = quads.select(*columns).dropDuplicates(KEYS)
+    theirs = None
+    if relative_to is not None:  # their labels come first in order, so of graphs that say the same theirs is the one that stays
+        other = lambda c: F.when(F.col(c).startswith("_:"), F.concat(F.lit(THEIRS), F.col(c).substr(F.lit(3), F.length(c)))).otherwise(F.col(c)).alias(c)
+        theirs = relative_to.select(other("s"), "p", other("o"), "g", "o_kind", "o_val", "o_lang", "o_dt").dropDuplicates(KEYS)
+    q = written(msgs(mine if theirs is None else mine.unionByName(theirs).dropDuplicates(KEYS)), "msgs")
     ground = q.where("msg is null").select(*columns)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -219,7 +227,11 @@ def make_lean(quads: DataFrame) -> DataFrame:
     size = edges.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
     other_size = size.select(F.col("node").alias("other"), F.col("m").alias("m2"))
     gone = covering.join(other_size, "other", "left").where("m2 is null or m2 > n or node > other").select(F.col("node").alias("msg")).distinct()
-    return ground.unionByName(one_each.join(gone, "msg", "left_anti").select(*columns))
+    left = one_each.join(gone, "msg", "left_anti").select(*columns)
+    if theirs is None:
+        return ground.unionByName(left)
+    own_ground = mine.where("not startswith(s, '_:') and not startswith(o, '_:')")
+    return own_ground.unionByName(left.where(~F.col("s").startswith(THEIRS) & ~F.col("o").startswith(THEIRS)))
 
 
 def connectivity(statements: list[Quad]) -> tuple[list[str], list[list[bool]]]:

@@ -541,3 +541,13 @@ def test_store_is_not_written_over_itself(spark, tmp_path):
         again.write(str(tmp_path / "a"), overwrite=True)
     s.write(str(tmp_path / "a"), overwrite=True)
     assert spark.read.parquet(str(tmp_path / "a")).count() == 1
+
+
+def test_lean_relative_to_another_source(spark):
+    q = lambda rows: quads_from(spark, rows)
+    mine = [("_:a", "<u:p>", '"1"'), ("_:b", "<u:p>", '"2"'), ("_:b", "<u:q>", '"3"'), ("_:c", "<u:n>", "_:d"), ("_:d", "<u:p>", '"9"'), ("_:e", "<u:n>", "_:f"), ("_:f", "<u:p>", '"8"'), ("<u:g>", "<u:p>", '"5"')]
+    theirs = [("_:a", "<u:p>", '"1"'), ("_:a", "<u:r>", '"7"'), ("<u:x>", "<u:p>", '"2"'), ("_:x", "<u:n>", "_:y"), ("_:y", "<u:p>", '"9"'), ("<u:g>", "<u:p>", '"5"'), ("<u:h>", "<u:p>", '"6"')]
+    got = {tuple(r) for r in G.make_lean(q(mine), q(theirs)).select("s", "p", "o").collect()}
+    # _:a is covered, _:b is not wholly, _:c with _:d is the same as theirs
+    assert got == {x for x in mine if x[0] in ("_:b", "_:e", "_:f", "<u:g>")}
+    assert {tuple(r) for r in G.make_lean(q(mine), q([])).select("s", "p", "o").collect()} == set(mine)
