@@ -30,7 +30,7 @@ def rows_of(columns, rows):
 
 def main():
     sf = sys.argv[1]
-    q, sql = e.queries(), e.oracle_sql()
+    q = e.queries()
     names = [n for n in q if any(n.startswith(x) for x in sys.argv[2:])] or list(q)
     spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,7 +40,7 @@ def main():
     for t in TABLES:
         p = f"{sf}/{t}.parquet"
         con.execute(f"create view {t} as select * from '{p + '/*.parquet' if os.path.isdir(p) else p}'")
-    bad = 0
+    sql, bad = e.oracle_sql(), 0
     for n in names:
         t = time.time()
         try:

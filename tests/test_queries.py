@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tests.compare import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["bgp_three_hop", "optional_shared", "union_unbound", "filter_or_error", "order_limit_offset", "graph_var", "construct_names", "rdf_optional", "rdfs_store_classes", "rule_math_remainder", "p1_paths", "p2_found", "p6_report", "p7_stats"]
+NAMES = ["bgp_three_hop", "optional_shared", "union_unbound", "filter_or_error", "order_limit_offset", "graph_var", "construct_names", "rdf_optional", "rdfs_store_classes", "rule_math_remainder", "io_turtle_pages", "io_rdfxml", "http_endpoint_join", "rules_all_proofs", "own_sink", "rdf_two_hop", "p1_paths", "p2_found", "p2_wide_text", "p6_report", "p7_stats"]
 
 
 @pytest.fixture(scope="module")
