@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadflow.llm.copies import copy_groups, normalized
 from quadflow.llm.frequency import marked, term_frequencies, value_terms
-from quadflow.llm.lookalikes import alike_pairs, one_form
+from quadflow.llm.lookalikes import alike_pairs, confusables, form_sql, one_form
 from quadflow.llm.mixing import demands, mixture, reached
 from quadflow.llm.packing import fill, pack
 from quadflow.llm.subjects import composition, fitted, page_areas
@@ -134,3 +134,18 @@ SQL = {
     "p9_properties": "select profile, source, true as on_target, true as within_repeats from mix_targets",
     "p4_records": _COPIES + "select kept_id, count(distinct id) as n_copies from g group by 1",
 }
+
+
+def session_sql() -> dict[str, str]:
+    """SQL of p5, whose tables of characters need a session; none without one."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return {}
+    form = form_sql("value", confusables(spark)[1])
+    pairs = []
+    for name, same in (("rdf_entities", ()), ("rdf_literals", ("language", "datatype"))):
+        rows = f"(select distinct id, value, {', '.join([*same, form + ' as f'])} from {name} where id is not null and value is not null)"
+        on = " and ".join(["a.f = b.f", "a.value <> b.value", "a.id < b.id", *[f"a.{c} is not distinct from b.{c}" for c in same]])
+        pairs.append(f"select distinct '{name}' as table_name, a.id as id_a, b.id as id_b from {rows} a join {rows} b on {on}")
+    forms = " union all ".join(f"select '{t}' as table_name, id, value from {t}" for t in ("rdf_entities", "rdf_literals"))
+    return {"p5_found": " union all ".join(pairs), "p5_forms": f"select table_name, id, value, {form} as one_form from (select distinct * from ({forms}))"}
