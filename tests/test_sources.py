@@ -365,4 +365,4 @@ def test_paths_over_the_graph(spark):
     walk = lambda path: sorted(r["node"] for r in navigate(s, start, path, {"u": "u:"}).collect())
     assert walk("u:p/u:q") == ['"1"', '"2"'] and walk("u:p[2]/<u:q>") == ['"2"'] and walk("u:p/!u:p") == ["<u:a>", "<u:z>"] and walk("*/*") == ['"1"', '"2"'] and walk("u:q") == [] and walk("u:p[9]") == []
     with pytest.raises(ValueError):
-        navigate(s, start, "u:p//u:q")
+        navigate(s, start, "u:p//u:q", {"u": "u:"})
