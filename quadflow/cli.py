@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from functools import reduce
 
 from pyspark.sql import SparkSession
 
@@ -65,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         began = time.time()
         store = open_store(spark, args.source)
         if args.graph:
-            store = type(store)(spark).add_source(store.quads, f"<{args.graph}>")
+            store = reduce(lambda x, s: x.add_source(s, f"<{args.graph}>"), store.sources, type(store)(spark))
         n = save_store(store, args.target, dict(x.split("=", 1) for x in args.prefix))
         if args.stats or n is not None:
             n = store.count() if n is None else n

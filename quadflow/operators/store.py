@@ -120,6 +120,13 @@ class TableSource:
             parts.append(self.df.where(c.isNotNull()).select(s.alias("s"), F.lit(p).alias("p"), form.term(c).alias("o"), g.alias("g"), F.lit(form.kind).alias("o_kind"), form.text(c).alias("o_val"), F.lit(form.lang).cast("string").alias("o_lang"), F.lit(form.datatype).cast("string").alias("o_dt")))
         return reduce(DataFrame.unionByName, parts)
 
+    def by_row(self) -> DataFrame:
+        """(s, p, o, g) of quads() from one scan, a row's statements side by side, its subject worked out once."""
+        g = F.lit("") if self.graph is None else self.graph[1].term(self.graph[0])
+        known = {T.RDF_TYPE: F.lit(self.kind)} | {p: form.term(c) for p, (c, form) in self.columns.items()}
+        some = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in known.items()])
+        return self.df.select(self.subject.term(self.key).alias("s"), F.explode(some).alias("x"), g.alias("g")).where("x.o is not null").select("s", "x.p", "x.o", "g")
+
     def match(self, triples: list[Triple]) -> Bindings | None:
         """One scan for all patterns, which share subject and graph; only a single pattern may leave the predicate open."""
         if isinstance(triples[0].p, Var):
@@ -204,6 +211,8 @@ class QuadStore:
         """With one more source; a graph names all of its statements."""
         if isinstance(source, DataFrame):
             source = QuadSource(source.withColumn("g", F.lit(graph)) if graph else source)
+        elif graph and isinstance(source, TableSource):
+            source = replace(source, graph=(F.lit(graph), TERM))
         elif graph:
             source = QuadSource(source.quads().withColumn("g", F.lit(graph)), source.distinct)
         return QuadStore(self.spark, [*self.sources, source], self.reasoners)
@@ -224,6 +233,11 @@ class QuadStore:
             self._quads = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], T.QUADS)
         return self._quads
 
+    def by_row(self) -> DataFrame:
+        """(s, p, o, g) of all quads, those of a table's row side by side: for whoever wants them whole."""
+        parts = [s.by_row() if isinstance(s, TableSource) else s.quads().select(*KEYS) for s in self.sources]
+        return reduce(DataFrame.unionByName, parts) if parts else self.quads.select(*KEYS)
+
     def cached(self) -> QuadStore:
         return QuadStore(self.spark, [QuadSource(self.quads.persist(), self.distinct)], self.reasoners)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadflow.functions import terms as T
+from quadflow.operators.store import QuadSource
 from quadflow.sources import n3, rdfxml
 
 #: One line of N-Triples or N-Quads: subject, predicate, object, graph.
@@ -120,6 +121,31 @@ def invalid_literals(quads: DataFrame) -> DataFrame:
     return quads.where("o_dt is not null").where(bad).select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("line"), F.concat(F.lit("no lexical form of "), "o_dt").alias("error"), F.col("o").alias("text"))
 
 
+def _naming(lines: DataFrame, wants: dict[str, str | list[str]]) -> DataFrame:
+    """Without lines that can't match a template: those that neither name its IRIs nor have an escape."""
+    for want in wants.values():
+        terms = [want] if isinstance(want, str) else want
+        if 0 < len(terms) <= 50 and all(t.startswith("<") and t != T.RDFS_MEMBER for t in terms):
+            lines = lines.where(reduce(lambda a, b: a | b, [F.col("value").contains(t) for t in [*terms, "\\"]]))
+    return lines.where(F.spark_partition_id() >= 0)  # no later filter is merged with these, which would be slower
+
+
+class LinesSource(QuadSource):
+    """N-Triples or N-Quads as a source; a select drops lines that can't match before any is taken apart."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        super().__init__(read_rdf(spark, path, "nt").quads, distinct=False)
+        self.spark, self.path = spark, path
+
+    def select(self, wants: dict[str, str | list[str]]) -> DataFrame:
+        return lines_as_quads(_naming(self.spark.read.text(self.path), wants), None, _scope(self.path)).quads
+
+
+def _scope(path: str) -> str:
+    """A folder or pattern is one document: its files were written together and share their blank nodes."""
+    return hashlib.sha1(path.encode()).hexdigest()[:8]
+
+
 def read_rdf(spark: SparkSession, paths: str | list[str], format: str | None = None, base: str | None = None, graph: str | None = None, validate: bool = True) -> Document:  # noqa: A002
     """Quads of documents; several paths, folders and patterns are read together.
 
@@ -136,8 +162,7 @@ def read_rdf(spark: SparkSession, paths: str | list[str], format: str | None = N
     found = []
     for kind, some in kinds.items():
         if kind == "nt":
-            # a folder or pattern is one document: its files were written together and share their blank nodes
-            found += [lines_as_quads(spark.read.text(p), graph, hashlib.sha1(p.encode()).hexdigest()[:8]) for p in some]
+            found += [lines_as_quads(spark.read.text(p), graph, _scope(p)) for p in some]
         else:
             found.append(_whole(spark, some, kind, base, graph, validate))
     return Document(reduce(DataFrame.unionByName, [d.quads for d in found]), reduce(DataFrame.unionByName, [d.rejects for d in found]))

@@ -12,7 +12,7 @@ from quadflow.reason.rules import RuleEngine
 from quadflow.sources import n3
 from quadflow.sources.custom import python_source
 from quadflow.sources.mapping import mapped_store, rdf_store
-from quadflow.sources.readers import FORMATS, read_jdbc, read_rdf
+from quadflow.sources.readers import FORMATS, LinesSource, read_jdbc, read_rdf
 from quadflow.sources.writers import write_rdf
 
 
@@ -46,7 +46,7 @@ def open_store(spark: SparkSession, spec: str) -> QuadStore:
         if kind in ("mem", "null"):
             continue
         if kind in FORMATS:
-            source = QuadSource(read_rdf(spark, rest, kind).quads, distinct=False)
+            source = LinesSource(spark, rest) if FORMATS[kind] == "nt" else QuadSource(read_rdf(spark, rest, kind).quads, distinct=False)
         elif kind == "parquet":
             source = QuadSource(spark.read.parquet(rest))
         elif kind in ("tables", "rdf"):
@@ -66,12 +66,15 @@ def open_store(spark: SparkSession, spec: str) -> QuadStore:
 
 
 def save_store(store: QuadStore, spec: str, prefixes: dict[str, str] | None = None) -> int | None:
-    """Writes a store: FORMAT:path, parquet:path, or null, which only counts."""
+    """Writes a store: FORMAT:path, parquet:path, or null, which only counts. N-Triples and N-Quads, which name
+    every subject again and again, become compressed files."""
     kind, _, path = spec.partition(":")
     if kind == "null":
         return store.count()
     if kind == "parquet":
         store.write(path)
+    elif FORMATS.get(kind) == "nt":
+        write_rdf(store.by_row(), path, kind, prefixes, compression="gzip")
     else:
         write_rdf(store.quads, path, kind, prefixes)
     return None

@@ -9,9 +9,10 @@ from quadflow.cli import main
 from quadflow.functions import terms as T
 from quadflow.functions.namespaces import Namespaces
 from quadflow.operators.graph import isomorphic
-from quadflow.operators.store import quads_from
+from quadflow.operators.store import QuadStore, quads_from
 from quadflow.sources import n3, rdfxml, results
 from quadflow.sources import writers as W
+from quadflow.sources.mapping import mapped
 from quadflow.sources.readers import decoded, format_of, read_rdf
 from quadflow.sources.spec import open_store, save_store
 from quadflow.streaming.ingest import counts_by_predicate, stream_into, stream_quads
@@ -292,6 +293,25 @@ def test_stream(spark, tmp_path):
     assert counts_by_predicate(timed, "at").isStreaming
 
 
+def test_converted_tables_are_small_and_whole(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id as a", "if(id % 2 = 0, null, id / 3) as b", "concat('x', char(34), char(92), id) as c")
+    store = QuadStore(spark, [mapped(df, "row", None)])
+    assert sorted(quads(store.by_row())) == sorted(quads(store.quads))
+    save_store(store, f"nt:{tmp_path}/t.nt")
+    files = [f for f in (tmp_path / "t.nt").iterdir() if f.name.startswith("part-")]
+    text = spark.read.text(f"{tmp_path}/t.nt").selectExpr("sum(length(value) + 1)")
+    assert sum(f.stat().st_size for f in files) < text.first()[0] / 5
+    named = store.add_source(mapped(df, "row", "a"), "<u:g>")
+    assert named.select(g="<u:g>").count() == 3000 * 3 + 1500 and named.query("SELECT ?c { GRAPH ?g { ?s <http://ex.org/c> ?c } FILTER(?g = <u:g>) }").count() == 3000
+
+
+def test_select_of_lines_keeps_escaped_names(spark, tmp_path):
+    (tmp_path / "a.nt").write_text('<u:s> <u:p> "1" .\n<u:s> <u:\\u0070> "2" .\n<u:s> <u:q> <u:p> .\n<u:s> <u:q> "3" .\n', encoding="utf-8")
+    store = open_store(spark, f"nt:{tmp_path}/a.nt")
+    assert sorted(r.o for r in store.select(p="<u:p>").collect()) == ['"1"', '"2"']
+    assert store.select(p=["<u:p>", "<u:q>"]).count() == 4 and [r.p for r in store.select(s="<u:s>", o="<u:p>").collect()] == ["<u:q>"]
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.ttl").write_text('@prefix : <u:>. :a :p "x"; :k :b. :b :p "y".', encoding="utf-8")
     a = f"turtle:{tmp_path}/a.ttl"
