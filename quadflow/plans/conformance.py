@@ -5,12 +5,15 @@ from __future__ import annotations
 
 import contextlib
 import datetime as dt
+import gzip
 import io
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,14 +183,51 @@ _add("stream_ntriples", _streamed, _STAR + "select * from q")
 
 
 
+def _bulk_loaded(tables: dict[str, DataFrame]) -> str:
+    """The URL of a Derby database with these tables in the shared folder, for all executors to read.
+
+    Derby lets one process at a time open a database that can be written. So the driver loads what the executors wrote as
+    text, a file at a time, and closes the database; a folder in place of the lock file then tells every process that it
+    is read-only.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    jvm, path = spark.sparkContext._jvm, _local(scratch(spark, "derby"))
+    url = f"jdbc:derby:{path}"
+    props = jvm.java.util.Properties()
+    jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(DERBY)
+    db = jvm.java.sql.DriverManager.getConnection(url + ";create=true", props)
+    run = db.createStatement()
+    for name, rows in tables.items():
+        kinds = {"string": "clob", "int": "integer"}
+        run.execute(f"create table {name} (" + ", ".join(f'"{c}" {kinds.get(t, t)}' for c, t in rows.dtypes) + ")")
+        plain = {"string": lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")}
+        fields = [F.coalesce(plain.get(t, lambda c: c.cast("string"))(F.col(c)), F.lit("")) for c, t in rows.dtypes]
+        text = _local(scratch(spark, "load"))
+        rows.select(F.concat_ws(",", *fields).alias("value")).write.text(f"file://{text}", compression="gzip")
+        for part in sorted(x for x in os.listdir(text) if x.startswith("part-")):
+            with gzip.open(f"{text}/{part}") as packed, open(f"{text}/now", "wb") as out:
+                shutil.copyfileobj(packed, out)
+            if os.path.getsize(f"{text}/now"):
+                run.execute(f"call syscs_util.syscs_import_table(null, '{name.upper()}', '{text}/now', null, null, 'UTF-8', 0)")
+        shutil.rmtree(text)
+    run.close()
+    db.close()
+    with contextlib.suppress(Py4JJavaError):  # a database that was shut down says so by an error
+        jvm.java.sql.DriverManager.getConnection(url + ";shutdown=true", props)
+    for lock in ("db.lck", "dbex.lck"):
+        if os.path.exists(f"{path}/{lock}"):
+            os.remove(f"{path}/{lock}")
+    os.mkdir(f"{path}/db.lck")
+    return url
+
+
 def _jdbc(spark: SparkSession, d: str) -> DataFrame:
     """The store's tables written to a relational database and read from there."""
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex}"
+    tables = {}
     for name in ("statements", "entities", "literals"):
         rows = table(spark, d, f"rdf_{name}")
-        rows = rows.select("subject", "predicate", "objecttype", "object", "meta") if name == "statements" else rows.drop("hash", "removed_at")
-        rows.coalesce(4).write.format("jdbc").options(url=url + ";create=true", dbtable=f"rdf_{name}", driver=DERBY).save()
-    return read_jdbc(spark, url, "rdf", driver=DERBY).select(*SPOG)
+        tables[f"rdf_{name}"] = rows.select("subject", "predicate", "objecttype", "object", "meta") if name == "statements" else rows.drop("hash", "removed_at")
+    return read_jdbc(spark, _bulk_loaded(tables), "rdf", driver=DERBY).select(*SPOG)
 
 
 #: The relational database that Spark brings along.

@@ -1,6 +1,7 @@
 """Readers, writers, result formats, specs, streams and the command line."""
 
 import random
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from quadflow.functions import terms as T
 from quadflow.functions.namespaces import Namespaces
 from quadflow.operators.graph import isomorphic
 from quadflow.operators.store import QuadStore, quads_from
+from quadflow.plans.conformance import DERBY, _bulk_loaded
 from quadflow.sources import n3, rdfxml, results
 from quadflow.sources import writers as W
 from quadflow.sources.mapping import mapped
@@ -312,6 +314,17 @@ def test_select_of_lines_keeps_escaped_names(spark, tmp_path):
     assert store.select(p=["<u:p>", "<u:q>"]).count() == 4 and [r.p for r in store.select(s="<u:s>", o="<u:p>").collect()] == ["<u:q>"]
 
 
+def test_database_is_open_to_several_processes(spark):
+    df = spark.createDataFrame([(1, 'a"b,\n\r\nx\\', None), (2, "", "en"), (3, " sp ", ""), (4, None, "\té😀")], "id bigint, value string, added_at string")
+    url = _bulk_loaded({"rdf_odd": df})
+    back = spark.read.format("jdbc").options(url=url, dbtable="rdf_odd", driver=DERBY).load()
+    assert back.columns == df.columns and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    jvm = spark.sparkContext._jvm.System
+    ij = [jvm.getProperty("java.home") + "/bin/java", "-cp", jvm.getProperty("java.class.path"), "-Dderby.stream.error.field=java.lang.System.err", "org.apache.derby.tools.ij"]
+    said = subprocess.run(ij, input=f"connect '{url}';\nselect count(*) + 38 from rdf_odd;\n", capture_output=True, text=True, timeout=100).stdout
+    assert "42" in said and "ERROR" not in said
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.ttl").write_text('@prefix : <u:>. :a :p "x"; :k :b. :b :p "y".', encoding="utf-8")
     a = f"turtle:{tmp_path}/a.ttl"
