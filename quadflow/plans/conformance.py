@@ -197,6 +197,7 @@ def _bulk_loaded(tables: dict[str, DataFrame]) -> str:
     jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(DERBY)
     db = jvm.java.sql.DriverManager.getConnection(url + ";create=true", props)
     run = db.createStatement()
+    run.execute("call syscs_util.syscs_set_database_property('derby.storage.pageReservedSpace', '0')")  # no row will grow
     for name, rows in tables.items():
         kinds = {"string": "clob", "int": "integer"}
         run.execute(f"create table {name} (" + ", ".join(f'"{c}" {kinds.get(t, t)}' for c, t in rows.dtypes) + ")")
